@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import gif, langid, mixing, packing
+from tracewright.llm import gif, langid, mixing, packing, quality, simhash, toxicity
 from tracewright.llm.shared import fold
 
 
@@ -26,6 +26,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = gif.gif_payloads(gif.texts_to_gif(table(spark, sf_dir, "documents")))
     n = F.length("payload")
@@ -36,6 +41,12 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model, keep=((fold("doc_id", 5) == 0).alias("held_out"),)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
@@ -46,11 +57,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return quality.score(docs, model, keep=((fold("doc_id", 3) == 1).alias("held_out"),)).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
     "op4_gif": op4_gif,
+    "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.mix_sql()}
