@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import gif, langid, mixing, packing, quality, simhash, toxicity
+from tracewright.llm import gif, langid, linededup, mixing, packing, quality, simhash, toxicity
 from tracewright.llm.shared import fold
 
 
@@ -57,6 +57,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
+    "op9_linededup": op9_linededup,
     "op10_quality": op10_quality,
 }
 

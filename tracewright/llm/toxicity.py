@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.labelled import labelled_sample
+from tracewright.llm.shared import materialise
 from tracewright.llm.textops import slices, words
 
 #: Labelled documents that the model is fitted on, about.
 SAMPLE_DOCUMENTS = 12_000
-#: Words of the learned lexicon at most; those whose likelihood ratio is below LEXICON_SHARE of the best are left out.
-LEXICON_WORDS, LEXICON_SHARE = 200, 0.3
+#: Terms of the learned lexicon at most, and candidates that the driver ranks. A term is a word, or a stem: the first
+#: letters of words, written with a star.
+LEXICON_TERMS, CANDIDATES = 200, 5000
+STEMS = (4, 5, 6)
+#: Documents that a term needs.
+LEAST_DOCUMENTS = 3
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Words to each side of a lexicon word in which second-person words count as near.
 REACH = 4
@@ -50,13 +55,17 @@ def features(texts: pa.Array, lexicon: list[str]) -> np.ndarray:
     core = cores(d)
     kind = core.type
     hits = pc.is_in(core, pa.array(lexicon, kind)).to_numpy(zero_copy_only=False)
+    stems = [x[:-1] for x in lexicon if x.endswith("*")]
+    for k in STEMS:
+        if own := [x for x in stems if len(x) == k]:
+            hits = hits | pc.is_in(pc.utf8_slice_codeunits(core, 0, k), pa.array(own, kind)).to_numpy(zero_copy_only=False)
     second = pc.is_in(core, pa.array(SECOND_PERSON, kind)).to_numpy(zero_copy_only=False)
     mixed = pc.match_substring_regex(d, r"\p{L}[^\p{L}\s]+\p{L}|^[@$]\p{L}").to_numpy(zero_copy_only=False)
     hidden = np.zeros(len(d), bool)
-    squeezed = {plain(x) for x in lexicon}
+    squeezed, cut = {plain(x) for x in lexicon if not x.endswith("*")}, tuple({plain(x) for x in stems})
     suspects = np.flatnonzero(mixed & ~hits)
-    if squeezed and len(suspects):
-        hidden[suspects] = [plain(x) in squeezed for x in d.take(pa.array(suspects)).to_pylist()]
+    if lexicon and len(suspects):
+        hidden[suspects] = [(p := plain(x)) in squeezed or p.startswith(cut) for x in d.take(pa.array(suspects)).to_pylist()]
     length = pc.utf8_length(d).to_numpy(zero_copy_only=False).astype(float)
     capitals = pc.count_substring_regex(d, r"\p{Lu}").to_numpy(zero_copy_only=False).astype(float)
     letters = pc.count_substring_regex(d, r"\p{L}").to_numpy(zero_copy_only=False).astype(float)
@@ -191,32 +200,49 @@ class ToxicityModel:
         return np.clip(np.interp(self.trees.margin(features(texts, self.lexicon)), self.xs, self.ys), 0, 1)
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON_WORDS, share: float = LEXICON_SHARE) -> list[str]:
-    """Words whose share of toxic documents has the highest log-likelihood ratio; counts of documents are made by the tasks."""
+def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
+    """Words and stems whose share of toxic documents has the highest log-likelihood ratio, above what the best of so many
+    terms would reach by chance. Documents whose smallest word hash agrees, copies and near copies, count once. Counts
+    are made by the tasks; the driver gets CANDIDATES terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             w = words(part.column("text"), lower=False)
             if not len(w.dictionary):
                 continue
-            core = cores(w.dictionary).dictionary_encode()
-            codes = core.indices.to_numpy(zero_copy_only=False)[w.codes]
-            m = len(core.dictionary)
-            seen = np.unique(w.rows() * np.int64(m) + codes)
-            y = part.column("y").to_numpy(zero_copy_only=False)[seen // m]
-            ones, alls = np.bincount(seen % m, y, m).astype(np.int64), np.bincount(seen % m, minlength=m)
-            yield pa.RecordBatch.from_arrays([core.dictionary.cast(pa.string()), pa.array(ones), pa.array(alls)], names=["word", "ones", "alls"])
-
+            core = cores(w.dictionary)
+            y = part.column("y").to_numpy(zero_copy_only=False)
+            for k in (0, *STEMS):
+                term = pc.binary_join_element_wise(pc.utf8_slice_codeunits(core, 0, k), pa.scalar("*", core.type), pa.scalar("", core.type)) if k else core
+                term = term.dictionary_encode()
+                codes = term.indices.to_numpy(zero_copy_only=False)[w.codes]
+                m = len(term.dictionary)
+                seen = np.unique(w.rows() * np.int64(m) + codes)
+                ones, alls = np.bincount(seen % m, y[seen // m], m).astype(np.int64), np.bincount(seen % m, minlength=m)
+                yield pa.RecordBatch.from_arrays([term.dictionary.cast(pa.string()), pa.array(ones), pa.array(alls)], names=["term", "ones", "alls"])
+
+    least = F.array_min(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
+    sample = materialise(sample.groupBy(least.alias("sketch"), "y").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("y", "d.text"), "toxic-distinct")
     sums = sample.agg(F.sum("y").alias("ones"), F.count("*").alias("alls")).first()
     ones, alls = float(sums["ones"] or 0), float(sums["alls"])
     if not 0 < ones < alls:
         return []
     a, n = F.col("ones"), F.col("alls")
-    by_word = sample.select("text", "y").mapInArrow(count, "word string, ones long, alls long").groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls"))
+    by_term = sample.select("text", "y").mapInArrow(count, "term string, ones long, alls long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls"))
     rest = n - a
     ratio = 2 * (a * F.log(a / (n * ones / alls)) + F.when(rest > 0, rest * F.log(rest / (n * (alls - ones) / alls))).otherwise(0.0))
-    best = by_word.where((F.length("word") > 2) & (a >= 3) & (a * (alls - ones) > rest * ones)).withColumn("ratio", ratio).orderBy(F.desc("ratio"), "word").limit(most).collect()
-    return [r["word"] for r in best if r["ratio"] >= share * best[0]["ratio"]]
+    known = materialise(by_term.where((F.length("term") > 3) & (a >= LEAST_DOCUMENTS) & (a * (alls - ones) > rest * ones)).withColumn("ratio", ratio), "toxic-terms")
+    floor = 2 * np.log(max(2, known.count()))
+    chosen: list[str] = []
+    for r in known.where(F.col("ratio") >= floor).orderBy(F.desc("ratio"), F.length("term").desc(), "term").limit(CANDIDATES).collect():
+        term, bare = r["term"], r["term"].rstrip("*")
+        covered = any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen)
+        covers = any(c.rstrip("*").startswith(bare) for c in chosen) and term.endswith("*")
+        if not covered and not covers:
+            chosen.append(term)
+        if len(chosen) == most:
+            break
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_documents: int = SAMPLE_DOCUMENTS) -> ToxicityModel:
