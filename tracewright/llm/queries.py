@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import gif, langid, linededup, mixing, packing, quality, simhash, toxicity
+from tracewright.llm import gif, langid, linededup, mixing, packing, quality, simhash, suffixtree, toxicity
 from tracewright.llm.shared import fold
 
 
@@ -41,6 +41,12 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 5) == 1
+    found = suffixtree.score(table(spark, sf_dir, "documents"), ~held, keep=(held.alias("held_out"),))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_simhash": op3_simhash,
     "op4_gif": op4_gif,
+    "op5_suffixtree": op5_suffixtree,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
