@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import gif, langid, linededup, mixing, packing, quality, simhash, suffixtree, toxicity
+from tracewright.llm import embeddings, gif, langid, linededup, mixing, packing, quality, simhash, suffixtree, toxicity
 from tracewright.llm.shared import fold
 
 
@@ -26,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("bits")).alias("fingerprint"), "component_id")
@@ -75,6 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_embeddings": op2_embeddings,
     "op3_simhash": op3_simhash,
     "op4_gif": op4_gif,
     "op5_suffixtree": op5_suffixtree,
