@@ -18,13 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm.shared import discard, materialise
 from tracewright.llm.textops import slices, words
 
 #: Symbols of a context at most.
-DEPTH = 7
+DEPTH = 5
 #: A context is a state if its counts diverge from its parent's distribution by so many nats in all.
 DIVERGENCE = 2.0
 #: Weight of the parent's distribution in a state's; of the uniform one in the root's.
@@ -33,7 +34,7 @@ START, STOP, END, ALPHABET = 256, 257, 258, 258
 _BITS = 9
 _FULL = (1 << (_BITS * DEPTH)) - 1
 #: Words of a block.
-WORD_BLOCK = 65_536
+WORD_BLOCK = 262_144
 
 
 def _spelled(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +86,9 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
             key, count = np.unique(w.rows() * np.int64(m) + w.codes, return_counts=True)
             ends = np.searchsorted(key, np.arange(n + 1) * np.int64(m))
             ids, ns = (key % m).astype("<i4"), count.astype("<i4")
+            ids[1:] -= ids[:-1].copy()  # steps are small and pack well; a document's first is its own
+            heads = ends[:-1][np.diff(ends) > 0]
+            ids[heads] = (key[heads] % m).astype("<i4")
             doc = {
                 "doc_id": part.column("doc_id"), "learn": part.column("_learn"), "n_words": pa.array(w.counts),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "ns": pa.array([ns[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
@@ -138,30 +142,30 @@ def tree(transitions: DataFrame) -> DataFrame:
     by DIVERGENCE nats or more, and then its distribution is its counts smoothed by its parent's. A context that reaches
     back to its word's beginning is counted by running words; one that doesn't by distinct words, since it speaks for
     words not seen."""
-    both = (F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
-    levels = {DEPTH: materialise(transitions.groupBy("context", "symbol").agg(*both), "pst-level")}
-    for d in reversed(range(DEPTH)):
+    all_ = materialise(transitions.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")), "pst-transitions")
+
+    def level(d: int) -> DataFrame:
         short = F.col("context").bitwiseAND((1 << (_BITS * d)) - 1).alias("context")
-        levels[d] = materialise(levels[d + 1].select(short, "symbol", "n", "kinds").groupBy("context", "symbol").agg(*both), "pst-level")
-    levels = {d: x.select("context", "symbol", F.when(begins(F.col("context")), F.col("n")).otherwise(F.col("kinds")).alias("n")) for d, x in levels.items()}
-    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    known = levels[0].select("context", "symbol", ((F.col("n") + ROOT_SMOOTHING) / (total + ROOT_SMOOTHING * ALPHABET)).alias("p"), F.lit(0).cast("long").alias("state"))
+        cut = all_.select(short, "symbol", "n", "kinds").groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+        return cut.select("context", "symbol", F.when(begins(F.col("context")), F.col("n")).otherwise(F.col("kinds")).alias("n"))
+
+    total = level(0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    known = level(0).select("context", "symbol", ((F.col("n") + ROOT_SMOOTHING) / (total + ROOT_SMOOTHING * ALPHABET)).alias("p"), F.lit(0).cast("long").alias("state"))
     for d in range(1, DEPTH + 1):
         parent = F.col("context").bitwiseAND((1 << (_BITS * (d - 1))) - 1)
         above = known.select(F.col("context").alias("_parent"), F.col("symbol").alias("_symbol"), F.col("p").alias("_p"), F.col("state").alias("_state"))
-        own = levels[d].withColumn("_of", parent).join(above, (F.col("_of") == F.col("_parent")) & (F.col("symbol") == F.col("_symbol")))
-        own = materialise(own.select("context", "symbol", "n", "_of", "_p", "_state"), "pst-joined")
-        gain = F.sum(F.when(F.col("n") > 0, F.col("n") * (F.log(F.col("n")) - F.log("_p"))).otherwise(0.0))
-        sums = own.groupBy("context").agg(F.sum("n").alias("_total"), gain.alias("_gain"))
+        own = level(d).withColumn("_of", parent).join(above, (F.col("_of") == F.col("_parent")) & (F.col("symbol") == F.col("_symbol")))
+        one = W.partitionBy("context")  # a row for each symbol of the alphabet at most
+        gain = F.sum(F.when(F.col("n") > 0, F.col("n") * (F.log("n") - F.log("_p"))).otherwise(0.0)).over(one)
+        own = own.withColumn("_total", F.sum("n").over(one)).withColumn("_gain", gain)
         # the sum of n ln(n / total / p) over a context's symbols
-        kept = sums.select(F.col("context").alias("_c"), "_total", (F.when(F.col("_total") > 0, F.col("_gain") - F.col("_total") * F.log(F.col("_total"))).otherwise(0.0) >= DIVERGENCE).alias("_kept"))
-        joined = own.join(kept, own["context"] == kept["_c"])
-        is_state = F.col("_kept") & (F.col("context") != F.col("_of"))  # a context that begins its word has no longer form
+        diverges = F.when(F.col("_total") > 0, F.col("_gain") - F.col("_total") * F.log("_total")).otherwise(0.0) >= DIVERGENCE
+        is_state = diverges & (F.col("context") != F.col("_of"))  # a context that begins its word has no longer form
         p = F.when(is_state, (F.col("n") + SMOOTHING * F.col("_p")) / (F.col("_total") + SMOOTHING)).otherwise(F.col("_p"))
-        fresh = materialise(joined.select("context", "symbol", p.alias("p"), F.when(is_state, F.col("context")).otherwise(F.col("_state")).alias("state")), "pst-states")
-        discard(own)
+        fresh = materialise(own.select("context", "symbol", p.alias("p"), F.when(is_state, F.col("context")).otherwise(F.col("_state")).alias("state")), "pst-states")
         discard(known)
         known = fresh
+    discard(all_)
     return known
 
 
@@ -213,7 +217,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     end_base = float(np.log10((ends + 0.5) / below))
 
     def give(rows: pa.Table, known: pa.Table) -> pa.Table:
-        flat, owner = _spread(rows.column("ids").to_pylist())
+        steps, owner = _spread(rows.column("ids").to_pylist())
+        flat = np.cumsum(steps, dtype=np.int64)
+        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        flat -= np.repeat(np.where(heads > 0, flat[heads - 1], 0) if len(heads) else np.zeros(0, np.int64), np.diff(np.append(heads, len(owner))))
         size = int(flat.max(initial=-1)) + 1  # words that don't come back are unknown
         c, lp = np.zeros(size), np.full(size, np.log10(unknown))
         at = known.column("id").to_numpy()
