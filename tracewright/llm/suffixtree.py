@@ -33,7 +33,8 @@ SMOOTHING, ROOT_SMOOTHING = 1.0, 0.5
 START, STOP, END, ALPHABET = 256, 257, 258, 258
 _BITS = 9
 _FULL = (1 << (_BITS * DEPTH)) - 1
-#: Words of a block.
+#: Bytes of text of a block of documents, and words of a block of words.
+BLOCK_BYTES = 8 << 20
 WORD_BLOCK = 262_144
 
 
@@ -78,7 +79,7 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
         from pyspark import TaskContext
 
         serial = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK_BYTES):
             w = words(part.column("text"))
             m, n = max(1, len(w.dictionary)), part.num_rows
             learn_row = part.column("_learn").to_numpy(zero_copy_only=False)

@@ -6,6 +6,8 @@ Each distinct word of a slice is handled once; documents are lists of codes into
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,11 +16,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into runs of rows with about `limit` bytes of text each (one row at least)."""
+    """Cuts batches into runs of rows with about `limit` bytes of text each (one row at least). When the task ends, what
+    the allocators keep is given back: a reused worker would hold it through the next stages."""
+    try:
+        yield from _cut(batches, column, limit)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
