@@ -11,7 +11,12 @@ from tracewright.llm import embeddings, gif, langid, linededup, mixing, packing,
 from tracewright.llm.shared import fold
 
 
+#: Rows that Spark hands to Python at once; its own 10,000 of long texts take much memory on both sides.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

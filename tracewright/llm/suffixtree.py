@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm.shared import discard, materialise
-from tracewright.llm.textops import slices, words
+from tracewright.llm.textops import gathered, words
 
 #: Symbols of a context at most.
 DEPTH = 5
@@ -35,7 +35,7 @@ _BITS = 9
 _FULL = (1 << (_BITS * DEPTH)) - 1
 #: Bytes of text of a block of documents, and words of a block of words.
 BLOCK_BYTES = 8 << 20
-WORD_BLOCK = 262_144
+WORD_BLOCK, WORD_BLOCK_BYTES = 262_144, 4 << 20
 
 
 def _spelled(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
         from pyspark import TaskContext
 
         serial = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text", BLOCK_BYTES):
+        for part in gathered(batches, "text", BLOCK_BYTES):
             w = words(part.column("text"))
             m, n = max(1, len(w.dictionary)), part.num_rows
             learn_row = part.column("_learn").to_numpy(zero_copy_only=False)
@@ -115,7 +115,7 @@ def blocks_of_words(counted: DataFrame) -> DataFrame:
 
         serial = TaskContext.get().partitionId() << 32
         names = ["block", "word", "c", "ids", "context", "symbol", "id", "n", "kinds"]
-        for batch in batches:
+        for batch in gathered(batches, "word", WORD_BLOCK_BYTES):
             for a in range(0, batch.num_rows, WORD_BLOCK):
                 part = batch.slice(a, WORD_BLOCK)
                 n = part.num_rows

@@ -28,6 +28,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         release_memory()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Joins small batches until they have about `limit` bytes of text, then cuts as slices() does."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.concat_batches(held)
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(column).nbytes
+            if size >= limit:
+                yield joined()
+                held, size = [], 0
+        if held:
+            yield joined()
+
+    return slices(whole(), column, limit)
+
+
 def release_memory() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
