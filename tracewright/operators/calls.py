@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.parsing import special
 from tracewright.functions.registers import digits_of, hex_long, to_hex
 from tracewright.plans.ordered import BUCKET, ordered_depth, ordered_last
+from tracewright.plans.settled import settle
 
 CALLS, BRANCHES = ("call", "call_reg"), ("call", "call_reg", "branch_reg")
 
@@ -25,20 +26,21 @@ def call_events(insn: DataFrame, bucket: int = BUCKET) -> DataFrame:
     A register call whose next instruction is the one behind it went to code that the trace lacks: it returns at once,
     before that next instruction."""
     marks = insn.where(F.col("class").isin(*CALLS, "return") | F.col("insn_addr").isNotNull()).select("seq", "class", "insn_addr", "operands", "pre", "ops_text")
-    ahead = ordered_next(marks, [], ["seq"], F.when(F.col("insn_addr").isNotNull(), F.struct("seq", "insn_addr")), "ahead", bucket)
+    marks = settle(marks)
+    ahead = settle(ordered_next(marks, [], ["seq"], F.when(F.col("insn_addr").isNotNull(), F.struct("seq", "insn_addr")), "ahead", bucket).where(F.col("class").isin(*CALLS)))
     target = F.when(F.col("class") == "call", F.get("operands", F.lit(0))["imm"]).otherwise(hex_long(digits_of(F.col("pre"), F.lower(F.trim("ops_text")))))
     calls = ahead.where(F.col("class").isin(*CALLS)).select("seq", F.lit(1).alias("ord"), F.lit(1).alias("step"), target.alias("func_addr"), F.lit(None).cast("long").alias("exit_at"))
     returns = marks.where(F.col("class") == "return").select("seq", F.lit(1).alias("ord"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("func_addr"), F.col("seq").alias("exit_at"))
     passed = ahead.where((F.col("class") == "call_reg") & (F.col("ahead.insn_addr") == F.col("insn_addr") + 4))
     at_once = passed.select(F.col("ahead.seq").alias("seq"), F.lit(0).alias("ord"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("func_addr"), (F.col("ahead.seq") - 1).alias("exit_at"))
-    return calls.unionByName(returns).unionByName(at_once)
+    return settle(calls.unionByName(returns).unionByName(at_once))
 
 
 def call_tree(events: DataFrame, last_seq: int, first_addr: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """id, func_addr, entry_seq, exit_seq, parent_id, depth. Node 0 is the whole trace; ids follow the calls. A return with
     nothing open is ignored, an unclosed call ends with the trace."""
-    d = ordered_depth(events, ["seq", "ord"], F.col("step"), "depth", bucket)
-    d = ordered_depth(d, ["seq", "ord"], F.when(F.col("step") == 1, 1).otherwise(0), "id", bucket)
+    d = settle(ordered_depth(events, ["seq", "ord"], F.col("step"), "depth", bucket))
+    d = settle(ordered_depth(d, ["seq", "ord"], F.when(F.col("step") == 1, 1).otherwise(0), "id", bucket))
     calls = d.where("step = 1").select(F.col("depth").alias("level"), "seq", "ord", "id", "func_addr", "depth")
     ask = calls.select((F.col("level") - 1).alias("level"), "seq", "ord", "id", "func_addr", "depth", F.lit(None).cast("long").alias("found"))
     give = calls.select("level", "seq", "ord", "id", "func_addr", "depth", F.col("id").alias("found"))
@@ -88,9 +90,9 @@ def annotations(lines: DataFrame, insn: DataFrame, bucket: int = BUCKET) -> tupl
     sp = special(lines).select("seq", "raw", "kind", "func_name", "is_jni", "arg_index", "value")
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("raw", "string"), ("kind", "string"), ("func_name", "string"), ("is_jni", "boolean"), ("arg_index", "string"), ("value", "string"))]
     armed = insn.where(F.col("class").isin(*BRANCHES)).select("seq", *nothing, F.lit(True).alias("branch"))
-    both = armed.unionByName(sp.withColumn("branch", F.lit(False)))
-    both = ordered_last(both, [], ["seq"], F.when(F.col("branch"), F.col("seq")), "armed", bucket)
-    both = ordered_last(both, [], ["seq"], F.when(F.col("kind") == "call", F.col("seq")), "last_call", bucket)
+    both = settle(armed.unionByName(sp.withColumn("branch", F.lit(False))))
+    both = settle(ordered_last(both, [], ["seq"], F.when(F.col("branch"), F.col("seq")), "armed", bucket))
+    both = settle(ordered_last(both, [], ["seq"], F.when(F.col("kind") == "call", F.col("seq")), "last_call", bucket))
     rows = both.where("NOT branch").withColumn("call_seq", F.when(F.col("kind") == "call", F.col("seq")).otherwise(F.col("last_call")))
     rows = rows.where("call_seq IS NOT NULL")
     closes = rows.where("kind = 'ret'").groupBy("call_seq").agg(F.min("seq").alias("_closed"))
