@@ -22,14 +22,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.withColumn("_index", F.row_number().over(W.partitionBy("_file", "_at").orderBy("_order")) - 1)
     counts = raw.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("_file", "_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_file", "_at", "_base")
-    numbered = raw.join(base, ["_file", "_at"]).select((F.col("_base") + F.col("_index")).cast("long").alias("seq"), F.regexp_replace("value", r"\r$", "").alias("raw"))
-    return numbered.withColumn("raw", F.when(F.is_valid_utf8("raw"), F.col("raw")).otherwise(_escaped()(F.col("raw").cast("binary"))))
+    clean = F.when(F.is_valid_utf8("value"), F.regexp_replace("value", r"\r$", "")).otherwise(_escaped()(F.col("value").cast("binary")))
+    return raw.join(base, ["_file", "_at"]).select((F.col("_base") + F.col("_index")).cast("long").alias("seq"), clean.alias("raw"))
 
 
 def _escaped():
     @F.arrow_udf("string")
     def escape(data: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "backslashreplace") for x in data.to_pylist()], pa.string())
+        return pa.array([None if x is None else x.removesuffix(b"\r").decode("utf-8", "backslashreplace") for x in data.to_pylist()], pa.string())
 
     return escape
 
