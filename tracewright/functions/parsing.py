@@ -73,8 +73,8 @@ def element_width(mnemonic: Column, first: Column) -> Column:
     )
 
 
-def split_line(lines: DataFrame, fmt: str) -> DataFrame:
-    """seq, raw, and the parts of instruction lines: module, insn_addr, insn_offset, asm, before, after, has_arrow. asm is
+def split_line(lines: DataFrame, fmt: str, *keep: str) -> DataFrame:
+    """seq, raw, columns to keep, and the parts of instruction lines: module, insn_addr, insn_offset, asm, before, after, has_arrow. asm is
     null for other lines."""
     raw = F.col("raw")
     if fmt == QUOTED:
@@ -94,7 +94,7 @@ def split_line(lines: DataFrame, fmt: str) -> DataFrame:
         arrow = " -> "
         module, offset = F.regexp_extract(raw, r"^\[([^\]]*)\]", 1), F.regexp_extract(raw, r"!0x([0-9a-fA-F]+)", 1)
         address = F.regexp_extract(raw, r"^\[[^\]]*\] 0x([0-9a-fA-F]+)!", 1)
-    out = lines.select("seq", "raw", asm.alias("asm"), notes.alias("_notes"), F.nullif(module, F.lit("")).alias("module"), hex_long(address).alias("insn_addr"), hex_long(offset).alias("insn_offset"))
+    out = lines.select("seq", "raw", *keep, asm.alias("asm"), notes.alias("_notes"), F.nullif(module, F.lit("")).alias("module"), hex_long(address).alias("insn_addr"), hex_long(offset).alias("insn_offset"))
     has = F.col("_notes").contains(arrow)
     return out.withColumns({"has_arrow": has, "before": F.when(has, F.substring_index("_notes", arrow, 1)).otherwise(F.col("_notes")), "after": F.when(has, F.substring_index("_notes", arrow, -1)).otherwise("")}).drop("_notes")
 
