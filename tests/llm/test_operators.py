@@ -292,6 +292,19 @@ def test_line_dedup(spark, empty):
     assert linededup.remove_repeats(empty).count() == 0
 
 
+def test_line_dedup_at_any_offset(spark):
+    rng = random.Random(11)
+    running = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    passage = running(60)
+    texts = [f"{running(40 + k)} {passage} {running(40)}" for k in range(11)]
+    got = {r["doc_id"]: r for r in linededup.remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[0]["removed_words"] == 0 and got[0]["text"] == texts[0]
+    for k in range(1, 11):  # all but less than a line at both ends, and nothing else
+        (span,) = got[k]["spans"]
+        assert 40 + k <= span["first_word"] < 50 + k and 90 + k < span["first_word"] + span["n_words"] <= 100 + k
+        assert got[k]["removed_words"] == span["n_words"]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (None, 3)]

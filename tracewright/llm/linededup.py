@@ -1,4 +1,4 @@
-"""Removal of passages that repeat: overlapping windows of three consecutive lines, found globally by their hashes."""
+"""Removal of passages that repeat: overlapping windows of three consecutive pieces of lines, found globally by their hashes."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import discard, materialise
 from tracewright.llm.textops import slices, words
 
-#: Lines of a window; words that a window needs; words after which a line without a break is wrapped.
+#: Lines of a window; words that a window needs; most words of a line, and word gaps of which one at least ends a line.
 WINDOW, LEAST_WORDS, WRAP = 3, 10, 10
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -26,12 +26,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _local(key: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """Places whose key is the least of some WRAP places in a row, none of them fixed. Each depends on the keys less than
+    WRAP places away and on nothing else; of equal keys close together one is taken in WRAP."""
+    n = len(key)
+    picked = np.zeros(n, bool)
+    if n < WRAP:
+        return picked
+    fixed_before = np.concatenate([[0], np.cumsum(fixed)])
+    starts = np.flatnonzero(fixed_before[WRAP:] == fixed_before[:-WRAP])
+    least, size = key, 1
+    while 2 * size <= WRAP:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    least = np.minimum(least[: n - WRAP + 1], least[WRAP - size :])[starts]
+    for k in range(WRAP):
+        picked[starts[key[starts + k] == least] + k] = True
+    at = np.flatnonzero(picked)
+    if len(at):
+        head = np.ones(len(at), bool)
+        head[1:] = (key[at[1:]] != key[at[:-1]]) | (np.diff(at) >= WRAP)
+        turn = (at - at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]) // WRAP
+        picked[at[1:][~head[1:] & (turn[1:] == turn[:-1])]] = False
+    return picked
+
+
 class Lines:
-    """The lines and windows of a column of texts. A line ends at a line feed, after a word that ends in . ! or ?, and
-    after WRAP words; lines without a word don't count. White space between words doesn't matter.
+    """The lines and windows of a column of texts. White space between words doesn't matter.
+
+    What is counted: a line ends at a line feed, after a word that ends in . ! or ?, and after WRAP words; lines without a
+    word don't count. What is searched, the pieces: where such a line is wrapped, pieces end between two words by the hash
+    of both, so that equal passages are cut alike wherever they begin, but for less than WRAP words at their ends.
 
-    line_doc, first_word, n_words: of each line, the words counted in its document. window_line: the line that each
-    window begins with; window_hash: uint64."""
+    doc, word_line: of each word; line_doc: of each line; piece_doc, first_word, n_words: of each piece, the words counted
+    in its document. window_piece: the piece that each window begins with; window_hash: uint64."""
 
     def __init__(self, texts: pa.Array):
         texts = pc.replace_substring(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\x01", "\x02"), "\n", " \x01 ")
@@ -50,24 +77,38 @@ class Lines:
             begins[1:] = (doc[1:] != doc[:-1]) | (feeds_before[1:] != feeds_before[:-1]) | stops[codes[:-1]]
         at = np.arange(n)
         since = at - np.maximum.accumulate(np.where(begins, at, 0))
+        wrapped = since % WRAP == 0
+        self.doc, self.word_line, self.line_doc = doc, np.cumsum(wrapped) - 1, doc[wrapped]
+        hashes = pd.util.hash_array(w.dictionary.to_numpy(zero_copy_only=False), categorize=False) if n else np.zeros(0, np.uint64)
+        of_word = hashes[codes]
+        pair = np.zeros(n, np.uint64)
+        pair[1:] = _mix(of_word[:-1] * _M + of_word[1:])
+        begins |= _local(pair, begins)
+        since = at - np.maximum.accumulate(np.where(begins, at, 0))
         begins |= since % WRAP == 0
         first = np.flatnonzero(begins)
         self.n_words = np.diff(np.append(first, n))
-        self.line_doc = doc[first]
+        self.piece_doc = doc[first]
         counts = np.bincount(doc, minlength=len(texts))
-        self.first_word = first - (np.cumsum(counts) - counts)[self.line_doc]
-        self.window_line, self.window_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.first_word = first - (np.cumsum(counts) - counts)[self.piece_doc]
+        self.window_piece, self.window_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if len(first) >= WINDOW:
-            hashes = pd.util.hash_array(w.dictionary.to_numpy(zero_copy_only=False), categorize=False)
             powers = np.cumprod(np.full(WRAP, _M, np.uint64), dtype=np.uint64)
-            line = _mix(np.add.reduceat(hashes[codes] * powers[since % WRAP], first) + self.n_words.astype(np.uint64))
+            piece = _mix(np.add.reduceat(of_word * powers[since % WRAP], first) + self.n_words.astype(np.uint64))
             m = len(first) - WINDOW + 1
             total = sum(self.n_words[k : k + m] for k in range(WINDOW))
-            good = (self.line_doc[:m] == self.line_doc[WINDOW - 1 :]) & (total >= LEAST_WORDS)
+            good = (self.piece_doc[:m] == self.piece_doc[WINDOW - 1 :]) & (total >= LEAST_WORDS)
             h = np.zeros(m, np.uint64)
             for k in range(WINDOW):
-                h = _mix(h * _M + line[k : k + m])
-            self.window_line, self.window_hash = np.flatnonzero(good), h[good]
+                h = _mix(h * _M + piece[k : k + m])
+            self.window_piece, self.window_hash = np.flatnonzero(good), h[good]
+
+    def covered(self, windows: np.ndarray) -> np.ndarray:
+        """Which pieces lie in these windows (a mask over the windows)."""
+        out = np.zeros(len(self.piece_doc) + WINDOW, bool)
+        for k in range(WINDOW):
+            out[self.window_piece[windows] + k] = True
+        return out[: len(self.piece_doc)]
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,8 +119,8 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = Lines(part.column("text"))
-            if len(x.window_line):
-                doc = x.line_doc[x.window_line]
+            if len(x.window_piece):
+                doc = x.piece_doc[x.window_piece]
                 order = np.lexsort((x.window_hash, doc))
                 d, h = doc[order], x.window_hash[order]
                 fresh = np.ones(len(d), bool)
@@ -102,13 +143,13 @@ def cut(text: str | None, starts: np.ndarray, lengths: np.ndarray) -> str:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, text (what is left), n_lines, removed_lines, removed_words, spans (first word and number of words of each
-    removed run), and the columns of keep.
+    """doc_id, text (what is left), n_lines, removed_lines (all of whose words go), removed_words, spans (first word and
+    number of words of each removed run), and the columns of keep.
 
-    A window of three lines repeats if a document with a smaller id has it or if it came before in the same document; all
+    A window of three pieces (see Lines) repeats if a document with a smaller id has it or if it came before in the same document; all
     but its first occurrence are removed, overlapping ones as one run. Rows with the same id count as one document. Rows
     with a null id come last, and among themselves repeat nothing. Null texts stay null with no lines; texts of under
-    three lines or windows of under LEAST_WORDS words are left; an empty table gives no rows; other columns are ignored.
+    three pieces or windows of under LEAST_WORDS words are left; an empty table gives no rows; other columns are ignored.
     Hashes have 64 bits, so two given windows fall together by chance with odds of 2^-64.
 
     A window goes to the shuffle as hash and id; a frequent one is summed by the tasks first, and the join that brings
@@ -134,9 +175,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(n), sizes)
             hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            window_doc = x.line_doc[x.window_line]
+            window_doc = x.piece_doc[x.window_piece]
             # repeats of the same document: all but the first of equal windows
-            order = np.lexsort((x.window_line, x.window_hash, window_doc))
+            order = np.lexsort((x.window_piece, x.window_hash, window_doc))
             again = np.zeros(len(order), bool)
             d, h = window_doc[order], x.window_hash[order]
             again[order[1:]] = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
@@ -145,25 +186,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pairs = np.rec.fromarrays([np.concatenate([owner, window_doc]), np.concatenate([hashes, x.window_hash])])
                 _, code = np.unique(pairs, return_inverse=True)
                 again |= np.isin(code[len(owner) :], code[: len(owner)])
-            covered = np.zeros(len(x.line_doc) + WINDOW, np.int64)
-            for k in range(WINDOW):
-                covered[x.window_line[again] + k] = 1
-            covered = covered[: len(x.line_doc)].astype(bool)
+            covered = x.covered(again)
             texts = part.column("text").to_pylist() if covered.any() else None
             out, spans = part.column("text"), [[] for _ in range(n)]
             if texts is not None:
                 at = np.flatnonzero(covered)
                 new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) > 1) | (np.diff(x.line_doc[at]) != 0)
+                new[1:] = (np.diff(at) > 1) | (np.diff(x.piece_doc[at]) != 0)
                 head = np.flatnonzero(new)
-                run_doc, run_first = x.line_doc[at[head]], x.first_word[at[head]]
+                run_doc, run_first = x.piece_doc[at[head]], x.first_word[at[head]]
                 run_words = np.add.reduceat(x.n_words[at], head)
                 for doc in np.unique(run_doc).tolist():
                     own = run_doc == doc if n < 2 else slice(*np.searchsorted(run_doc, [doc, doc + 1]).tolist())
                     texts[doc] = cut(texts[doc], run_first[own], run_words[own])
                     spans[doc] = [{"first_word": a, "n_words": b} for a, b in zip(run_first[own].tolist(), run_words[own].tolist(), strict=True)]
                 out = pa.array(texts, pa.string())
-            columns = [part.column("doc_id"), out, pa.array(np.bincount(x.line_doc, minlength=n)), pa.array(np.bincount(x.line_doc[covered], minlength=n)), pa.array(np.bincount(x.line_doc[covered], x.n_words[covered], n).astype(np.int64)), pa.array(spans, span)]
+            gone_word = np.repeat(covered, x.n_words)
+            line_gone = np.ones(len(x.line_doc), bool)
+            line_gone[x.word_line[~gone_word]] = False
+            columns = [part.column("doc_id"), out, pa.array(np.bincount(x.line_doc, minlength=n)), pa.array(np.bincount(x.line_doc[line_gone], minlength=n)), pa.array(np.bincount(x.doc[gone_word], minlength=n)), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays([*columns, *part.columns[3:]], names=["doc_id", "text", "n_lines", "removed_lines", "removed_words", "spans", *part.schema.names[3:]])
 
     return joined.mapInArrow(run, ", ".join(["doc_id long, text string, n_lines long, removed_lines long, removed_words long, spans array<struct<first_word:int,n_words:int>>", *extra]))
