@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; every document stays, if need be with an empty text, and n_chars is counted anew."""
-    cut = linededup.remove_repeats(docs, keep=_kept(docs, "text"))
+    cut = linededup.remove_repeats(docs, keep=_kept(docs, "text"), per_run=True)
     return cut.select("_document.doc_id", "text", "_document.lang", "_document.source", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("_document.n_chars")).alias("n_chars"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import embeddings, gif, langid, linededup, mixing, packing, quality, simhash, suffixtree, toxicity
 from tracewright.llm.components import components
-from tracewright.llm.queries import tokenizer_path
+from tracewright.llm.queries import op9_linededup, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, offset string, label string"
 
@@ -305,6 +305,18 @@ def test_line_dedup_at_any_offset(spark):
         assert got[k]["removed_words"] == span["n_words"]
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = "\n".join(" ".join(word() for _ in range(3)) for _ in range(20))
+    short = "\n".join(" ".join(word() for _ in range(3)) for _ in range(3))  # nine words in all
+    texts = [f"{word()} {word()}\n{x}\n{word()} {word()}" for x in (passage, passage, short, short)]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op9_linededup(spark, str(tmp_path)).collect()}
+    assert [got[k]["removed_words"] for k in range(4)] == [0, 60, 0, 0]
+    assert got[1]["text"].split() == texts[1].split()[:2] + texts[1].split()[-2:]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (None, 3)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import discard, materialise
 from tracewright.llm.textops import slices, words
 
-#: Lines of a window; words that a window needs; most words of a line, and word gaps of which one at least ends a line.
+#: Pieces of a window; words that a removed run or each window needs; most words of a line, and word gaps of which one at least ends a line.
 WINDOW, LEAST_WORDS, WRAP = 3, 10, 10
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +60,7 @@ class Lines:
     doc, word_line: of each word; line_doc: of each line; piece_doc, first_word, n_words: of each piece, the words counted
     in its document. window_piece: the piece that each window begins with; window_hash: uint64."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, per_run: bool = False):
         texts = pc.replace_substring(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\x01", "\x02"), "\n", " \x01 ")
         w = words(texts, lower=False)
         feed = pc.equal(w.dictionary, pa.scalar("\x01", w.dictionary.type)).to_numpy(zero_copy_only=False) if len(w.dictionary) else np.zeros(0, bool)
@@ -96,29 +96,35 @@ class Lines:
             powers = np.cumprod(np.full(WRAP, _M, np.uint64), dtype=np.uint64)
             piece = _mix(np.add.reduceat(of_word * powers[since % WRAP], first) + self.n_words.astype(np.uint64))
             m = len(first) - WINDOW + 1
-            total = sum(self.n_words[k : k + m] for k in range(WINDOW))
-            good = (self.piece_doc[:m] == self.piece_doc[WINDOW - 1 :]) & (total >= LEAST_WORDS)
+            good = self.piece_doc[:m] == self.piece_doc[WINDOW - 1 :]
+            if not per_run:
+                good &= sum(self.n_words[k : k + m] for k in range(WINDOW)) >= LEAST_WORDS
             h = np.zeros(m, np.uint64)
             for k in range(WINDOW):
                 h = _mix(h * _M + piece[k : k + m])
             self.window_piece, self.window_hash = np.flatnonzero(good), h[good]
 
     def covered(self, windows: np.ndarray) -> np.ndarray:
-        """Which pieces lie in these windows (a mask over the windows)."""
+        """Which pieces lie in these windows (a mask over the windows), in runs of LEAST_WORDS words or more."""
         out = np.zeros(len(self.piece_doc) + WINDOW, bool)
         for k in range(WINDOW):
             out[self.window_piece[windows] + k] = True
-        return out[: len(self.piece_doc)]
+        out = out[: len(self.piece_doc)]
+        if out.any():
+            head = np.ones(len(out), bool)
+            head[1:] = (out[1:] != out[:-1]) | (self.piece_doc[1:] != self.piece_doc[:-1])
+            out &= np.add.reduceat(self.n_words, np.flatnonzero(head))[np.cumsum(head) - 1] >= LEAST_WORDS
+        return out
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def windows(docs: DataFrame, id_col: str, text_col: str, per_run: bool = False) -> DataFrame:
     """h, doc_id, k: the distinct windows of each document; k is doc_id, or for a null id a hash of the text."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.when(docs[id_col].isNull(), F.xxhash64(text)).alias("k"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            x = Lines(part.column("text"))
+            x = Lines(part.column("text"), per_run)
             if len(x.window_piece):
                 doc = x.piece_doc[x.window_piece]
                 order = np.lexsort((x.window_hash, doc))
@@ -142,19 +148,19 @@ def cut(text: str | None, starts: np.ndarray, lengths: np.ndarray) -> str:
     return "\n".join(x for x in kept if x)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), per_run: bool = False) -> DataFrame:
     """doc_id, text (what is left), n_lines, removed_lines (all of whose words go), removed_words, spans (first word and
     number of words of each removed run), and the columns of keep.
 
     A window of three pieces (see Lines) repeats if a document with a smaller id has it or if it came before in the same document; all
     but its first occurrence are removed, overlapping ones as one run. Rows with the same id count as one document. Rows
     with a null id come last, and among themselves repeat nothing. Null texts stay null with no lines; texts of under
-    three pieces or windows of under LEAST_WORDS words are left; an empty table gives no rows; other columns are ignored.
+    three pieces are left, and with per_run the runs, without it all windows of under LEAST_WORDS words; an empty table gives no rows; other columns are ignored.
     Hashes have 64 bits, so two given windows fall together by chance with odds of 2^-64.
 
     A window goes to the shuffle as hash and id; a frequent one is summed by the tasks first, and the join that brings
     its first owner back is left to adaptive execution to split."""
-    found = materialise(windows(docs, id_col, text_col), "line-windows")
+    found = materialise(windows(docs, id_col, text_col, per_run), "line-windows")
     first = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").select("h", "first_id")
     later = found.join(first, "h").where("doc_id IS NULL OR doc_id > first_id")
     gone = materialise(later.groupBy("doc_id", "k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "k": "_k"}), "line-repeats")
@@ -169,7 +175,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            x = Lines(part.column("text"))
+            x = Lines(part.column("text"), per_run)
             n = part.num_rows
             lists = part.column("_gone")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)

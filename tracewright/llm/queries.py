@@ -73,7 +73,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.remove_repeats(table(spark, sf_dir, "documents"))
+    return linededup.remove_repeats(table(spark, sf_dir, "documents"), per_run=True)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
