@@ -174,6 +174,17 @@ def test_suffix_tree(docs, rows, empty):
     assert len(got) == len(rows) and suffixtree.score(empty, learn).count() == 0
 
 
+def test_suffix_tree_spells_unseen_words(spark):
+    rng = random.Random(13)
+    learned = [(k, text(rng, 200)) for k in range(20)]
+    asked = {100: "the", 101: "windows", 102: "qxzvkjqxzvkj", 103: "qxzvkjqxzvkjqxzvkjqxzvkj"}
+    got = {r["doc_id"]: r for r in suffixtree.score(spark.createDataFrame([*learned, *asked.items()], "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    assert got[100]["score"] > got[101]["score"] > got[102]["score"] > got[103]["score"]  # by spelling, and by length
+    assert got[103]["score"] < 1.5 * got[102]["score"] and got[100]["unseen"] == 0
+    for k in (101, 102, 103):
+        assert got[k]["n_known"] == 1 and got[100]["score"] - got[k]["score"] > 0 and got[k]["score"] < got[k]["unseen"] < 0
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     rng = random.Random(9)

@@ -4,8 +4,8 @@ A text is its words, each spelled and ended by a mark, then the end of the text.
 before it in the word; of these the longest suffix that is a state of the tree is used. So a word's probability is its
 own, and a text's is the sum over its words: the corpus meets the model word by word, not document by document.
 
-As in the unigram model beside it, all words that the learning documents lack are one symbol. Each word begins with the
-choice whether it is that one, by Good and Turing's share of words met once; the others are spelled by the tree.
+Each word begins with the choice whether the learning documents have it, by Good and Turing's share of words met once;
+then the tree spells it, known or not. (In the unigram model beside it, all words that they lack are one symbol.)
 
 Nothing here is collected or broadcast but three sums. Tables go between documents, words and contexts in blocks: a task
 numbers the distinct words of a run of documents (or the distinct contexts of a run of words), these are joined with
@@ -177,7 +177,8 @@ def _spread(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_words(counted: DataFrame, ends: int) -> tuple[DataFrame, float]:
-    """counted: word, c. word, c, lp (log10 of the word's probability by the tree), and log10 of the text end's.
+    """counted: word, c (0: not learned from). word, c, lp (log10 of the word's probability by the tree), and log10 of the
+    text end's.
     ends: texts learned from."""
     spelled = materialise(blocks_of_words(counted), "pst-words")
     transitions = spelled.where("word IS NULL").select("block", "context", "symbol", "id", "n", "kinds")
@@ -197,8 +198,8 @@ def score_words(counted: DataFrame, ends: int) -> tuple[DataFrame, float]:
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score (log10 of the unigram model), score (log10 of the tree's), and
-    the columns of keep. learn: the rows to learn from; a null counts as false.
+    """doc_id, n_tokens, n_known, train_tokens, base_score (log10 of the unigram model), score (log10 of the tree's),
+    base_unseen and unseen (what tokens that the learning documents lack add to both), and the columns of keep. learn: the rows to learn from; a null counts as false.
 
     Tokens are words in lower case (A-Z) and one end. A null text is the empty one, whose only token is its end; repeated
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
@@ -210,9 +211,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     ends = texts.where("learn").count()
     n_all, v = sums["n"] + ends, sums["v"] + (ends > 0)
     unknown = (sums["once"] + 0.5) / (n_all + 1)
-    worded, end_score = score_words(counted.where("c > 0"), ends)
+    worded, end_score = score_words(counted, ends)
     scored = materialise(worded, "pst-scored")
-    end_score = float(np.log10(1 - unknown) + end_score if ends else np.log10(unknown))
+    end_score += float(np.log10(1 - unknown if ends else unknown))
     back = vocabulary.select("block", "word", "id").join(scored, "word").select(F.col("block").alias("_block"), "id", "c", "lp")
     below = n_all + 0.5 * (v + 1)
     end_base = float(np.log10((ends + 0.5) / below))
@@ -222,20 +223,23 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         flat = np.cumsum(steps, dtype=np.int64)
         heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
         flat -= np.repeat(np.where(heads > 0, flat[heads - 1], 0) if len(heads) else np.zeros(0, np.int64), np.diff(np.append(heads, len(owner))))
-        size = int(flat.max(initial=-1)) + 1  # words that don't come back are unknown
-        c, lp = np.zeros(size), np.full(size, np.log10(unknown))
+        size = int(flat.max(initial=-1)) + 1
+        c, lp = np.zeros(size), np.zeros(size)
         at = known.column("id").to_numpy()
-        c[at], lp[at] = known.column("c").to_numpy(), known.column("lp").to_numpy() + np.log10(1 - unknown)
+        c[at], lp[at] = known.column("c").to_numpy(), known.column("lp").to_numpy()
+        lp += np.where(c > 0, np.log10(1 - unknown), np.log10(unknown))
         base = np.log10((c + 0.5) / below)
         ns = _spread(rows.column("ns").to_pylist())[0]
         n = rows.num_rows
         known_words = np.bincount(owner, ns * (c[flat] > 0), n).astype(np.int64)
+        lacking = ns * (c[flat] == 0)
         columns = {
             "doc_id": rows.column("doc_id"), "n_tokens": rows.column("n_words").to_numpy() + 1, "n_known": known_words + (1 if ends else 0), "train_tokens": np.full(n, n_all),
             "base_score": np.bincount(owner, ns * base[flat], n) + end_base, "score": np.bincount(owner, ns * lp[flat], n) + end_score,
+            "base_unseen": np.bincount(owner, lacking * base[flat], n) + (0 if ends else end_base), "unseen": np.bincount(owner, lacking * lp[flat], n) + (0 if ends else end_score),
         } | {x: rows.column(x) for x in names}
         return pa.table(columns)
 
     extra = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields[9:]]
     own = texts.select("block", "doc_id", "n_words", "ids", "ns", *names)
-    return own.groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, ", ".join(["doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double", *extra]))
+    return own.groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, ", ".join(["doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, base_unseen double, unseen double", *extra]))
