@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +175,11 @@ def test_suffix_tree(docs, rows, empty):
     assert len(got) == len(rows) and suffixtree.score(empty, learn).count() == 0
 
 
+def test_suffix_tree_contexts():
+    context = suffixtree._spelled(pa.array(["abcdefghij"]))[0].tolist()
+    assert [c >> 9 * k & 511 for c in context[-1:] for k in range(7)] == [b + 1 for b in b"jihgfed"]
+
+
 def test_suffix_tree_spells_unseen_words(spark):
     rng = random.Random(13)
     learned = [(k, text(rng, 200)) for k in range(20)]

@@ -23,11 +23,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
+#: Spark deletes an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
+    tidy: the shuffle files that were needed for it go at once."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, str(tidy or before == "true").lower())
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewright_path = path  # type: ignore[attr-defined]
     return out

@@ -25,7 +25,7 @@ from tracewright.llm.shared import discard, materialise
 from tracewright.llm.textops import gathered, words
 
 #: Symbols of a context at most.
-DEPTH = 5
+DEPTH = 7
 #: A context is a state if its counts diverge from its parent's distribution by so many nats in all.
 DIVERGENCE = 2.0
 #: Weight of the parent's distribution in a state's; of the uniform one in the root's.
@@ -143,7 +143,7 @@ def tree(transitions: DataFrame) -> DataFrame:
     by DIVERGENCE nats or more, and then its distribution is its counts smoothed by its parent's. A context that reaches
     back to its word's beginning is counted by running words; one that doesn't by distinct words, since it speaks for
     words not seen."""
-    all_ = materialise(transitions.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")), "pst-transitions")
+    all_ = materialise(transitions.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")), "pst-transitions", tidy=True)
 
     def level(d: int) -> DataFrame:
         short = F.col("context").bitwiseAND((1 << (_BITS * d)) - 1).alias("context")
@@ -163,7 +163,7 @@ def tree(transitions: DataFrame) -> DataFrame:
         diverges = F.when(F.col("_total") > 0, F.col("_gain") - F.col("_total") * F.log("_total")).otherwise(0.0) >= DIVERGENCE
         is_state = diverges & (F.col("context") != F.col("_of"))  # a context that begins its word has no longer form
         p = F.when(is_state, (F.col("n") + SMOOTHING * F.col("_p")) / (F.col("_total") + SMOOTHING)).otherwise(F.col("_p"))
-        fresh = materialise(own.select("context", "symbol", p.alias("p"), F.when(is_state, F.col("context")).otherwise(F.col("_state")).alias("state")), "pst-states")
+        fresh = materialise(own.select("context", "symbol", p.alias("p"), F.when(is_state, F.col("context")).otherwise(F.col("_state")).alias("state")), "pst-states", tidy=True)
         discard(known)
         known = fresh
     discard(all_)
@@ -180,7 +180,7 @@ def score_words(counted: DataFrame, ends: int) -> tuple[DataFrame, float]:
     """counted: word, c (0: not learned from). word, c, lp (log10 of the word's probability by the tree), and log10 of the
     text end's.
     ends: texts learned from."""
-    spelled = materialise(blocks_of_words(counted), "pst-words")
+    spelled = materialise(blocks_of_words(counted), "pst-words", tidy=True)
     transitions = spelled.where("word IS NULL").select("block", "context", "symbol", "id", "n", "kinds")
     end = counted.sparkSession.range(1).select(F.lit(START + 1).cast("long").alias("context"), F.lit(END).alias("symbol"), F.lit(ends).cast("long").alias("n"), F.lit(int(ends > 0)).cast("long").alias("kinds"))
     states = tree(transitions.select("context", "symbol", "n", "kinds").unionByName(end))
@@ -203,16 +203,16 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     Tokens are words in lower case (A-Z) and one end. A null text is the empty one, whose only token is its end; repeated
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
-    parts = materialise(blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep), "pst-documents")
+    parts = materialise(blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep), "pst-documents", tidy=True)
     names = parts.columns[9:]
     texts, vocabulary = parts.where("word IS NULL"), parts.where("word IS NOT NULL")
-    counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")), "pst-counts")
+    counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")), "pst-counts", tidy=True)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     ends = texts.where("learn").count()
     n_all, v = sums["n"] + ends, sums["v"] + (ends > 0)
     unknown = (sums["once"] + 0.5) / (n_all + 1)
     worded, end_score = score_words(counted, ends)
-    scored = materialise(worded, "pst-scored")
+    scored = materialise(worded, "pst-scored", tidy=True)
     end_score += float(np.log10(1 - unknown if ends else unknown))
     back = vocabulary.select("block", "word", "id").join(scored, "word").select(F.col("block").alias("_block"), "id", "c", "lp")
     below = n_all + 0.5 * (v + 1)
