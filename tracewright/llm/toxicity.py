@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm.labelled import labelled_sample
@@ -22,8 +23,10 @@ SAMPLE_DOCUMENTS = 12_000
 #: letters of words, written with a star.
 LEXICON_TERMS, CANDIDATES = 200, 5000
 STEMS = (4, 5, 6)
-#: Documents that a term needs.
+#: Toxic documents that a term needs.
 LEAST_DOCUMENTS = 3
+#: Parts of the sample for the calibration; least hashes of a text's words that copies share.
+FOLDS, SKETCHES = 4, 3
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Words to each side of a lexicon word in which second-person words count as near.
 REACH = 4
@@ -200,10 +203,35 @@ class ToxicityModel:
         return np.clip(np.interp(self.trees.margin(features(texts, self.lexicon)), self.xs, self.ys), 0, 1)
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
-    """Words and stems whose share of toxic documents has the highest log-likelihood ratio, above what the best of so many
-    terms would reach by chance. Documents whose smallest word hash agrees, copies and near copies, count once. Counts
-    are made by the tasks; the driver gets CANDIDATES terms."""
+def _rank_lexicon(found: list[tuple[str, float]], most: int) -> list[str]:
+    """The best terms; of a stem and what begins with it, the better."""
+    chosen: list[str] = []
+    for term, _ in found:
+        bare = term.rstrip("*")
+        covered = any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen)
+        covers = term.endswith("*") and any(c.rstrip("*").startswith(bare) for c in chosen)
+        if not covered and not covers:
+            chosen.append(term)
+        if len(chosen) == most:
+            break
+    return chosen
+
+
+def sketched(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Adds sketch, a hash of the SKETCHES least word hashes of the text, on which copies and nearly all near copies agree,
+    and fold, which follows from it."""
+    split = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
+    least = [F.array_min(F.transform(split, lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(SKETCHES)]
+    return sample.withColumn("sketch", F.xxhash64(*least)).withColumn("fold", F.pmod(F.col("sketch"), F.lit(folds)).cast("int"))
+
+
+def learn_lexicons(sample: DataFrame, most: int = LEXICON_TERMS, folds: int = FOLDS) -> list[list[str]]:
+    """folds + 1 lexicons: number k is learned without the documents of fold k, the last one from all.
+
+    A lexicon has the words and stems whose share of toxic documents has the highest log-likelihood ratio, above what the
+    best of so many terms would reach by chance. sample: y, doc_id, text, sketch, fold; texts of one sketch, copies and near
+    copies, count once. Counts are made by the tasks, a row for each term and fold; the
+    driver gets CANDIDATES terms for each lexicon."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -211,64 +239,79 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
             if not len(w.dictionary):
                 continue
             core = cores(w.dictionary)
-            y = part.column("y").to_numpy(zero_copy_only=False)
+            size = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+            y, of = part.column("y").to_numpy(zero_copy_only=False), part.column("fold").to_numpy(zero_copy_only=False)
+            rows = w.rows()
             for k in (0, *STEMS):
                 term = pc.binary_join_element_wise(pc.utf8_slice_codeunits(core, 0, k), pa.scalar("*", core.type), pa.scalar("", core.type)) if k else core
                 term = term.dictionary_encode()
                 codes = term.indices.to_numpy(zero_copy_only=False)[w.codes]
+                counted = (size > k)[w.codes]  # a stem stands for longer words than itself
                 m = len(term.dictionary)
-                seen = np.unique(w.rows() * np.int64(m) + codes)
-                ones, alls = np.bincount(seen % m, y[seen // m], m).astype(np.int64), np.bincount(seen % m, minlength=m)
-                yield pa.RecordBatch.from_arrays([term.dictionary.cast(pa.string()), pa.array(ones), pa.array(alls)], names=["term", "ones", "alls"])
-
-    least = F.array_min(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
-    sample = materialise(sample.groupBy(least.alias("sketch"), "y").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("y", "d.text"), "toxic-distinct")
-    sums = sample.agg(F.sum("y").alias("ones"), F.count("*").alias("alls")).first()
-    ones, alls = float(sums["ones"] or 0), float(sums["alls"])
-    if not 0 < ones < alls:
-        return []
-    a, n = F.col("ones"), F.col("alls")
-    by_term = sample.select("text", "y").mapInArrow(count, "term string, ones long, alls long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls"))
-    rest = n - a
-    ratio = 2 * (a * F.log(a / (n * ones / alls)) + F.when(rest > 0, rest * F.log(rest / (n * (alls - ones) / alls))).otherwise(0.0))
-    known = materialise(by_term.where((F.length("term") > 3) & (a >= LEAST_DOCUMENTS) & (a * (alls - ones) > rest * ones)).withColumn("ratio", ratio), "toxic-terms")
-    floor = 2 * np.log(max(2, known.count()))
-    chosen: list[str] = []
-    for r in known.where(F.col("ratio") >= floor).orderBy(F.desc("ratio"), F.length("term").desc(), "term").limit(CANDIDATES).collect():
-        term, bare = r["term"], r["term"].rstrip("*")
-        covered = any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen)
-        covers = any(c.rstrip("*").startswith(bare) for c in chosen) and term.endswith("*")
-        if not covered and not covers:
-            chosen.append(term)
-        if len(chosen) == most:
-            break
-    return chosen
+                seen = np.unique(rows[counted] * np.int64(m) + codes[counted])
+                cell = of[seen // m] * np.int64(m) + seen % m
+                ones, alls = np.bincount(cell, y[seen // m], m * folds).astype(np.int64), np.bincount(cell, minlength=m * folds)
+                at = np.flatnonzero(alls)
+                yield pa.RecordBatch.from_arrays([term.dictionary.cast(pa.string()).take(pa.array(at % m)), pa.array((at // m).astype(np.int32)), pa.array(ones[at]), pa.array(alls[at])], names=["term", "fold", "ones", "alls"])
+
+    distinct = materialise(sample.groupBy("sketch", "fold", "y").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("y", "d.text", "fold"), "toxic-distinct")
+    ones, alls = np.zeros(folds), np.zeros(folds)
+    for r in distinct.groupBy("fold").agg(F.sum("y").alias("ones"), F.count("*").alias("alls")).collect():
+        ones[r["fold"]], alls[r["fold"]] = r["ones"], r["alls"]
+    totals = [(float(ones.sum() - (ones[k] if k < folds else 0)), float(alls.sum() - (alls[k] if k < folds else 0))) for k in range(folds + 1)]
+    if all(not 0 < a < n for a, n in totals):
+        return [[] for _ in totals]
+    cells = distinct.select("text", "y", "fold").mapInArrow(count, "term string, fold int, ones long, alls long")
+    # a term's counts without fold k: k from 0 to folds, the last without none
+    spread = cells.withColumn("k", F.explode(F.expr(f"filter(sequence(0, {folds}), k -> k <> fold)")))
+    by_term = spread.where("term <> ''").groupBy("k", "term").agg(F.sum("ones").alias("a"), F.sum("alls").alias("n"))
+    table = F.create_map(*[F.lit(x) for k, (a, n) in enumerate(totals) for x in (k, n and a / n)])
+    share = table[F.col("k")]
+    a, n, rest = F.col("a"), F.col("n"), F.col("n") - F.col("a")
+    ratio = 2 * (a * F.log(a / (n * share)) + F.when(rest > 0, rest * F.log(rest / (n * (1 - share)))).otherwise(0.0))
+    known = materialise(by_term.where((a >= LEAST_DOCUMENTS) & (share > 0) & (share < 1) & (a > n * share)).withColumn("ratio", ratio), "toxic-terms")
+    many = {r["k"]: r["count"] for r in known.groupBy("k").count().collect()}
+    floor = F.create_map(*[F.lit(x) for k in range(folds + 1) for x in (k, float(2 * np.log(max(2, many.get(k, 0)))))])
+    place = F.row_number().over(W.partitionBy("k").orderBy(F.desc("ratio"), F.length("term").desc(), "term"))
+    best = known.where(F.col("ratio") >= floor[F.col("k")]).withColumn("place", place).where(F.col("place") <= CANDIDATES)
+    got: list[list[tuple[str, float]]] = [[] for _ in totals]
+    for r in best.select("k", "term", "ratio", "place").collect():
+        got[r["k"]].append((r["place"], r["term"], r["ratio"]))
+    return [_rank_lexicon([(t, x) for _, t, x in sorted(g)], most) for g in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_documents: int = SAMPLE_DOCUMENTS) -> ToxicityModel:
-    """labels: doc_id, toxic; learn: the rows of labels that may be learned from. The lexicon and the trees are learned on
-    a bounded sample; each half of it is scored by trees of the other half to fit the calibration. Without labels, or
-    with labels all alike, the model gives their mean (0 without)."""
-    sample = labelled_sample(docs, labels, "toxic", learn, sample_documents)
-    lexicon = learn_lexicon(sample)
+    """labels: doc_id, toxic; learn: the rows of labels that may be learned from. Lexicon and trees are learned on a bounded
+    sample. For the calibration each of FOLDS parts of it is scored by a lexicon and trees that were learned without it;
+    copies are in the same part. Without labels, or with labels all alike, the model gives their mean (0
+    without)."""
+    sample = materialise(sketched(labelled_sample(docs, labels, "toxic", learn, sample_documents)), "toxic-sample")
+    lexicons = learn_lexicons(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            x = features(part.column("text"), lexicon)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
-
-    got = sample.select("doc_id", "y", "text").mapInArrow(rows, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
+            own = features(part.column("text"), lexicons[-1])
+            fold = part.column("fold").to_numpy(zero_copy_only=False)
+            # the features that the models of the other folds see, and for each fold's model all rows' features
+            each = [features(part.column("text"), x) for x in lexicons[:-1]]
+            x = np.concatenate([*each, own], axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(fold), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
+
+    got = sample.select("doc_id", "y", "fold", "text").mapInArrow(rows, "doc_id long, y int, fold int, x array<double>").toPandas().sort_values("doc_id")
     y = got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(ys=np.array([y.mean() if len(y) else 0.0]))
-    x = np.stack(got["x"].to_numpy())
-    half = np.arange(len(y)) % 2 == 0
-    margin = np.zeros(len(y))
-    for own in (half, ~half):
-        if own.any() and 0 < y[~own].mean() < 1:
-            margin[own] = boost(x[~own], y[~own]).margin(x[own])
-    xs, ys = isotonic(margin, y)
-    return ToxicityModel(lexicon, boost(x, y), xs, ys)
+    of = got["fold"].to_numpy()
+    x = np.stack(got["x"].to_numpy()).reshape(len(y), FOLDS + 1, len(FEATURES))
+    margin = np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        own = of == k
+        if own.any() and not own.all() and 0 < y[~own].mean() < 1:
+            margin[own] = boost(x[~own, k], y[~own]).margin(x[own, k])
+    model = boost(x[:, FOLDS], y)
+    seen = ~np.isnan(margin)
+    xs, ys = isotonic(margin[seen], y[seen]) if seen.any() else (np.zeros(1), np.array([y.mean()]))
+    return ToxicityModel(lexicons[-1], model, xs, ys)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
