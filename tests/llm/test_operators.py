@@ -63,20 +63,53 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def brute_links(vs, cosine=0.93):
+    """Per row: number of links and the smallest id that links lead to, by comparing all pairs."""
+    good = [i for i, (k, v, lab) in enumerate(vs) if k is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    x = {i: np.float32(vs[i][1]).astype(float) for i in good}
+    near = {i: [j for j in good if j != i and vs[i][2] == vs[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= cosine] for i in good}
+    out = [(vs[i][0], 0, vs[i][0]) for i in range(len(vs))]
+    for i in good:
+        seen, queue = {i}, [i]
+        while queue:
+            for j in near[queue.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    queue.append(j)
+        out[i] = (vs[i][0], len(near[i]), min(vs[j][0] for j in seen))
+    return sorted((k is None, k or 0, n, c or 0, k == c or k is None) for k, n, c in out)
+
+
+def linked_rows(df, **given):
+    return sorted((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embeddings.near_duplicates(df, **given).collect())
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
     vs = [(k, (base[k % 40] + 0.15 * rng.standard_normal(16)).tolist(), k % 4 // 2) for k in range(200)]
     vs += [(300, vs[0][1], vs[0][2]), (301, None, 0), (302, [0.0] * 16, 0), (303, [float("nan")] * 16, 0), (304, vs[0][1], None), (305, [1.0] * 8, 0), (306, [], 0), (307, [None] * 16, 0)]
-    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(vs, "vec_id long, embedding array<double>, label int")).collect()}
-    good = [(i, np.float32(v).astype(float), lab) for i, v, lab in vs if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    for i, v, lab in good:
-        links = [j for j, w, m in good if j != i and m == lab and len(w) == len(v) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93]
-        assert got[i]["n_links"] == len(links)
-        assert got[i]["component_id"] <= min([i, *links])
-    for i in (301, 302, 303, 304, 306, 307):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert len(got) == len(vs)
+    # the same id with another label, with another vector, and once more; no id
+    vs += [(1, vs[2][1], 1), (1, vs[5][1], 0), (2, vs[2][1], vs[2][2]), (None, vs[0][1], vs[0][2])]
+    df = spark.createDataFrame([(*r, 7, "x", 0.5, 9) for r in vs], "vec_id long, embedding array<double>, label int, g long, t string, factor double, many long").repartition(3)
+    assert linked_rows(df) == brute_links(vs)
+    assert embeddings.near_duplicates(df.limit(0)).columns == ["vec_id", "n_links", "component_id", "kept"] and not linked_rows(df.limit(0))
+
+
+@pytest.mark.parametrize("dim", [16, 100])
+def test_embeddings_in_several_tables_and_tiles(spark, dim):
+    """Buckets of random projections, large ones in tiles, one label with a hot group of near copies."""
+    rng = np.random.default_rng(dim)
+    base = rng.standard_normal((60, dim))
+    x = base[rng.integers(0, 60, 500)] + rng.choice([0.05, 0.2, 0.3], (500, 1)) * rng.standard_normal((500, dim))
+    x[::3] = base[0] + 0.01 * rng.standard_normal((167, dim))
+    vs = [(k, v.astype(np.float32).tolist(), k % 7 // 5) for k, v in enumerate(x)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<float>, label int").repartition(3)
+    assert embeddings.table_count(4) > 5
+    got = linked_rows(df, bucket=24, largest=32, miss=1e-6)
+    assert got == brute_links(vs)
+    few = linked_rows(df, bucket=24, largest=32)
+    assert sum(r[2] for r in few) >= 0.995 * sum(r[2] for r in got)
 
 
 def test_embedding_estimates_and_tables():
@@ -84,17 +117,22 @@ def test_embedding_estimates_and_tables():
     x = rng.standard_normal((300, 64))
     x[150:] = x[:150] + 0.3 * rng.standard_normal((150, 64))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near, exact = embeddings.linked(unit)
-    truth = unit @ unit.T >= 0.93
-    np.fill_diagonal(truth, False)
-    assert (near == truth).all() and exact < 300 * 299 / 2
-    turned, code, factor = embeddings.encode(unit)
-    error = (code @ turned.T) / factor[:, None] - unit @ unit.T
-    assert abs(error[~np.eye(300, dtype=bool)].mean()) < 0.01
+    codes = embeddings.encode(unit)
+    assert codes.signs.shape == (300, 1) and codes.levels.shape == (300, 4, 1)
+    truth = unit @ unit.T
+    estimate, error = embeddings.estimates(codes, codes)
+    off = ~np.eye(300, dtype=bool)
+    # unbiased, and wrong by about as much as is said
+    assert abs((estimate - truth)[off].mean()) < 0.01
+    assert 0.5 < ((estimate - truth) / error)[off].std() < 1.2
+    may = embeddings.undecided(codes)
+    near = embeddings.linked(unit, may)
+    assert (near == ((truth >= 0.93) & off)).all()
+    assert may.sum() < 0.02 * 300 * 299 / 2  # the codes decide nearly all pairs
     bits, n = embeddings.tables(100_000)
     keys = embeddings.bucket_keys(unit, bits, n)
-    a, b = np.nonzero(truth)
-    assert (keys[a] == keys[b]).any(axis=1).mean() > 0.97
+    a, b = np.nonzero(near)
+    assert (keys[a] == keys[b]).any(axis=1).mean() > 0.99
 
 
 def test_simhash(docs, rows, empty):
