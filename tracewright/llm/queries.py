@@ -53,7 +53,7 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 5) == 1
     found = suffixtree.score(table(spark, sf_dir, "documents"), ~held, keep=(held.alias("held_out"),))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "class_score", "root_score")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,28 @@
-"""Language-model scoring by a probabilistic suffix tree over the bytes of words.
+"""Language-model scoring by a probabilistic suffix tree.
 
-A text is its words, each spelled and ended by a mark, then the end of the text. The next symbol depends on the symbols
-before it in the word; of these the longest suffix that is a state of the tree is used. So a word's probability is its
-own, and a text's is the sum over its words: the corpus meets the model word by word, not document by document.
+The symbols are tokens: words in lower case (A-Z), each as the learning documents have it, and a text's end. A context is
+the one to DEPTH tokens before a token, within the text (its start counts as one). A context that the learning documents
+have twice or more is a state of the tree if its own distribution, each occurrence judged by the others (leaving one
+out), gives them DIVERGENCE nats (at least) more than the distribution of the longest state among its suffixes. A state's
+distribution is its counts smoothed by that one, by as much as it has different successors (Witten and Bell). A token's
+probability is that of the longest suffix that is a state; the root is the unigram model.
 
-Each word begins with the choice whether the learning documents have it, by Good and Turing's share of words met once;
-then the tree spells it, known or not. (In the unigram model beside it, all words that they lack are one symbol.)
+Words that the learning documents lack are one symbol, whose occurrences while learning are the words met once (Good and
+Turing); its probability is shared out by a second suffix tree, over the bytes of the distinct words, that spells them.
 
-Nothing here is collected or broadcast but three sums. Tables go between documents, words and contexts in blocks: a task
-numbers the distinct words of a run of documents (or the distinct contexts of a run of words), these are joined with
-what is known of them, and return to their block as arrays."""
+Nothing is collected or broadcast but sums. Documents are handled in blocks. A block sends what it counts of contexts to
+the ranges of a hash of the context, packed, one row for a block and range; a range adds up and answers each block in
+the order of its question. A context with so many occurrences that it would fill a range is split by the next symbol and
+its sums are added up after. How often a context occurs is known before: its count as a transition of the level above."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,56 +30,44 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import discard, materialise
 from tracewright.llm.textops import gathered, words
 
-#: Symbols of a context at most.
-DEPTH = 7
-#: A context is a state if its counts diverge from its parent's distribution by so many nats in all.
-DIVERGENCE = 2.0
-#: Weight of the parent's distribution in a state's; of the uniform one in the root's.
-SMOOTHING, ROOT_SMOOTHING = 1.0, 0.5
-START, STOP, END, ALPHABET = 256, 257, 258, 258
+#: Tokens of a context at most; nats by which it must diverge.
+DEPTH, DIVERGENCE = 2, 0.0
+#: Symbols of a context of the spelling tree at most; nats by which it must diverge; weights of the parent's and of the uniform distribution.
+SPELL_DEPTH, SPELL_DIVERGENCE, SMOOTHING, ROOT_SMOOTHING = 7, 2.0, 1.0, 0.5
+START, STOP, ALPHABET = 256, 257, 257
 _BITS = 9
-_FULL = (1 << (_BITS * DEPTH)) - 1
-#: Bytes of text of a block of documents, and words of a block of words.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text of a block of documents; words of a block of words; transitions of a range of contexts, about.
+BLOCK_BYTES = 16 << 20
 WORD_BLOCK, WORD_BLOCK_BYTES = 262_144, 4 << 20
+RANGE = 1 << 20
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _spelled(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all symbols of all words in order: context, symbol, and the words' offsets. The newest symbol of a context has
-    its lowest bits; a symbol is stored plus one, so zero is no symbol."""
-    data = dictionary.cast(pa.large_binary())
-    sizes = np.array([len(x) for x in data.to_pylist()], np.int64)
-    flat = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-    symbols = np.full(int(offsets[-1]), STOP, np.int64)
-    is_byte = np.ones(len(symbols), bool)
-    is_byte[offsets[1:] - 1] = False
-    symbols[is_byte] = flat
-    place = np.arange(len(symbols)) - np.repeat(offsets[:-1], sizes + 1)
-    context = np.zeros(len(symbols), np.int64)
-    for back in range(1, DEPTH + 1):
-        before = np.zeros(len(symbols), np.int64)
-        before[back:] = symbols[:-back] + 1
-        before = np.where(place >= back, before, np.where(place == back - 1, START + 1, 0))
-        context |= before << (_BITS * (back - 1))
-    return context, symbols, offsets
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def begins(context: Column) -> Column:
-    """Contexts that reach back to the beginning of their word."""
-    out = F.lit(False)
-    for k in range(DEPTH):
-        out = out | (F.shiftright(context, _BITS * k).bitwiseAND((1 << _BITS) - 1) == START + 1)
-    return out
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of each (all lowest first), compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+
+
+def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+# --- documents and words ----------------------------------------------------------------------------------------------
 
 
 def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Column, keep: tuple[Column, ...]) -> DataFrame:
-    """Rows of documents (block, doc_id, n_tokens, ids and ns: the numbers of its distinct words and how often it has
-    them) and rows of words (block, word, id, train: how often the block's learning documents have it)."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), learn.alias("_learn"), *keep)
-    names = rows.columns[3:]
-    kinds = [f.dataType.simpleString() for f in rows.schema.fields[3:]]
-    schema = ", ".join(["block long, word string, id int, train long, doc_id long, learn boolean, n_words long, ids binary, ns binary", *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
+    """Rows of documents (block, doc_id, learn, n_words, seq: its words' numbers, and the columns of keep) and rows of words
+    (block, word, id, h: a hash, train: how often the block's learning documents have it)."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), learn.alias("_learn"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
+    kept = rows.schema["_keep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -81,78 +75,97 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
         serial = TaskContext.get().partitionId() << 32
         for part in gathered(batches, "text", BLOCK_BYTES):
             w = words(part.column("text"))
-            m, n = max(1, len(w.dictionary)), part.num_rows
+            n, m = part.num_rows, len(w.dictionary)
             learn_row = part.column("_learn").to_numpy(zero_copy_only=False)
-            train = np.bincount(w.codes, learn_row[w.rows()].astype(np.float64), len(w.dictionary)).astype(np.int64)
-            key, count = np.unique(w.rows() * np.int64(m) + w.codes, return_counts=True)
-            ends = np.searchsorted(key, np.arange(n + 1) * np.int64(m))
-            ids, ns = (key % m).astype("<i4"), count.astype("<i4")
-            ids[1:] -= ids[:-1].copy()  # steps are small and pack well; a document's first is its own
-            heads = ends[:-1][np.diff(ends) > 0]
-            ids[heads] = (key[heads] % m).astype("<i4")
-            doc = {
-                "doc_id": part.column("doc_id"), "learn": part.column("_learn"), "n_words": pa.array(w.counts),
-                "ids": pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "ns": pa.array([ns[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-            } | {x: part.column(x) for x in names}
-            word = {"word": w.dictionary.cast(pa.string()), "id": pa.array(np.arange(len(w.dictionary), dtype=np.int32)), "train": pa.array(train)}
-            fields = {"block": pa.int64(), "word": pa.string(), "id": pa.int32(), "train": pa.int64(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "ids": pa.binary(), "ns": pa.binary()} | {x: part.column(x).type for x in names}
-            for given, size in ((doc, n), (word, len(w.dictionary))):
+            train = np.bincount(w.codes, learn_row[w.rows()].astype(np.float64), m).astype(np.int64)
+            seq = pa.array([_squeeze(w.codes[a:b].astype("<i4")) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)], pa.binary())
+            doc = {"doc_id": part.column("doc_id"), "learn": part.column("_learn"), "n_words": pa.array(w.counts), "seq": seq, "_keep": part.column("_keep")}
+            hashes = pd.util.hash_array(w.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64) if m else np.zeros(0, np.int64)
+            word = {"word": w.dictionary.cast(pa.string()), "id": pa.array(np.arange(m, dtype=np.int32)), "h": pa.array(hashes), "train": pa.array(train)}
+            fields = {"block": pa.int64(), "word": pa.string(), "id": pa.int32(), "h": pa.int64(), "train": pa.int64(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
+            for given, size in ((doc, n), (word, m)):
                 if size:
                     columns = [pa.array(np.full(size, serial)) if f == "block" else given.get(f, pa.nulls(size, t)) for f, t in fields.items()]
                     yield pa.RecordBatch.from_arrays(columns, names=list(fields))
             serial += 1
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"block long, word string, id int, h long, train long, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
+
+
+# --- spelling ---------------------------------------------------------------------------------------------------------
+
+
+def _spelled(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all symbols of all words in order: context, symbol, and the words' offsets. The newest symbol of a context has
+    its lowest bits; a symbol is stored plus one, so zero is no symbol."""
+    data = dictionary.cast(pa.large_binary()).to_pylist()
+    sizes = np.array([len(x) for x in data], np.int64)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+    symbols = np.full(int(offsets[-1]), STOP, np.int64)
+    is_byte = np.ones(len(symbols), bool)
+    is_byte[offsets[1:] - 1] = False
+    symbols[is_byte] = flat
+    place = np.arange(len(symbols)) - np.repeat(offsets[:-1], sizes + 1)
+    context = np.zeros(len(symbols), np.int64)
+    for back in range(1, SPELL_DEPTH + 1):
+        before = np.zeros(len(symbols), np.int64)
+        before[back:] = symbols[:-back] + 1
+        before = np.where(place >= back, before, np.where(place == back - 1, START + 1, 0))
+        context |= before << (_BITS * (back - 1))
+    return context, symbols, offsets
 
 
 def blocks_of_words(counted: DataFrame) -> DataFrame:
-    """counted: word, c. Rows of words (block, word, c, ids: the numbers of its spelling's transitions) and rows of
-    transitions (block, context, symbol, id, n and kinds: running and distinct words of the learning documents that make
-    it)."""
+    """counted: word, c. Rows of transitions (block, context, symbol, id, n: distinct words learned from that make it, asked:
+    words to be spelled do), and for words that were not learned from (c = 0) rows (block, word, ids: the numbers of its
+    transitions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         serial = TaskContext.get().partitionId() << 32
-        names = ["block", "word", "c", "ids", "context", "symbol", "id", "n", "kinds"]
+        names = ["block", "word", "ids", "context", "symbol", "id", "n", "asked"]
         for batch in gathered(batches, "word", WORD_BLOCK_BYTES):
             for a in range(0, batch.num_rows, WORD_BLOCK):
                 part = batch.slice(a, WORD_BLOCK)
-                n = part.num_rows
-                c = part.column("c").to_numpy(zero_copy_only=False)
+                new = part.column("c").to_numpy(zero_copy_only=False) == 0
                 context, symbol, offsets = _spelled(part.column("word"))
-                pairs = np.rec.fromarrays([context, symbol])
-                _, first, code = np.unique(pairs, return_index=True, return_inverse=True)
-                of_word = np.repeat(c, np.diff(offsets))
-                weight, kinds = np.bincount(code, of_word, len(first)).astype(np.int64), np.bincount(code, of_word > 0, len(first)).astype(np.int64)
-                code = code.astype("<i4")
-                ids = pa.array([code[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, serial)), part.column("word"), part.column("c"), ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                order = np.lexsort((symbol, context))
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (np.diff(context[order]) != 0) | (np.diff(symbol[order]) != 0)
+                code = np.empty(len(order), np.int64)
+                code[order] = np.cumsum(fresh) - 1
+                first = order[fresh]
+                of_new = np.repeat(new, np.diff(offsets))
                 m = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, serial)), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(weight), pa.array(kinds)], names=names)
+                kinds, asked = np.bincount(code[~of_new], minlength=m).astype(np.int64), np.bincount(code[of_new], minlength=m) > 0
+                code = code.astype("<i4")
+                at = np.flatnonzero(new)
+                ids = pa.array([code[offsets[k] : offsets[k + 1]].tobytes() for k in at], pa.binary())
+                n = len(at)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, serial)), part.column("word").take(pa.array(at)), ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, serial)), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(kinds), pa.array(asked)], names=names)
                 serial += 1
 
-    return counted.mapInArrow(run, "block long, word string, c long, ids binary, context long, symbol int, id int, n long, kinds long")
+    return counted.mapInArrow(run, "block long, word string, ids binary, context long, symbol int, id int, n long, asked boolean")
 
 
-def tree(transitions: DataFrame) -> DataFrame:
-    """transitions: context (DEPTH symbols), symbol, n, kinds (0: only wanted, not learned from). context, symbol, p, state (the
-    context whose distribution gives p: the longest suffix that passed the divergence test).
+def spelling_tree(transitions: DataFrame) -> DataFrame:
+    """transitions: context (SPELL_DEPTH symbols), symbol, n. context, symbol, p, state (the context whose distribution gives
+    p: the longest suffix that passed the divergence test).
 
-    From the root down, a context's counts are compared with what its parent would give; it is a state if they diverge
-    by DIVERGENCE nats or more, and then its distribution is its counts smoothed by its parent's. A context that reaches
-    back to its word's beginning is counted by running words; one that doesn't by distinct words, since it speaks for
-    words not seen."""
-    all_ = materialise(transitions.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")), "pst-transitions", tidy=True)
+    From the root down, a context's counts are compared with what its parent would give; it is a state if they diverge by
+    SPELL_DIVERGENCE nats or more, and then its distribution is its counts smoothed by its parent's."""
+    all_ = materialise(transitions.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "pst-transitions", tidy=True)
 
     def level(d: int) -> DataFrame:
-        short = F.col("context").bitwiseAND((1 << (_BITS * d)) - 1).alias("context")
-        cut = all_.select(short, "symbol", "n", "kinds").groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
-        return cut.select("context", "symbol", F.when(begins(F.col("context")), F.col("n")).otherwise(F.col("kinds")).alias("n"))
+        return all_.select(F.col("context").bitwiseAND((1 << (_BITS * d)) - 1).alias("context"), "symbol", "n").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
     total = level(0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     known = level(0).select("context", "symbol", ((F.col("n") + ROOT_SMOOTHING) / (total + ROOT_SMOOTHING * ALPHABET)).alias("p"), F.lit(0).cast("long").alias("state"))
-    for d in range(1, DEPTH + 1):
+    for d in range(1, SPELL_DEPTH + 1):
         parent = F.col("context").bitwiseAND((1 << (_BITS * (d - 1))) - 1)
         above = known.select(F.col("context").alias("_parent"), F.col("symbol").alias("_symbol"), F.col("p").alias("_p"), F.col("state").alias("_state"))
         own = level(d).withColumn("_of", parent).join(above, (F.col("_of") == F.col("_parent")) & (F.col("symbol") == F.col("_symbol")))
@@ -160,7 +173,7 @@ def tree(transitions: DataFrame) -> DataFrame:
         gain = F.sum(F.when(F.col("n") > 0, F.col("n") * (F.log("n") - F.log("_p"))).otherwise(0.0)).over(one)
         own = own.withColumn("_total", F.sum("n").over(one)).withColumn("_gain", gain)
         # the sum of n ln(n / total / p) over a context's symbols
-        diverges = F.when(F.col("_total") > 0, F.col("_gain") - F.col("_total") * F.log("_total")).otherwise(0.0) >= DIVERGENCE
+        diverges = F.when(F.col("_total") > 0, F.col("_gain") - F.col("_total") * F.log("_total")).otherwise(0.0) >= SPELL_DIVERGENCE
         is_state = diverges & (F.col("context") != F.col("_of"))  # a context that begins its word has no longer form
         p = F.when(is_state, (F.col("n") + SMOOTHING * F.col("_p")) / (F.col("_total") + SMOOTHING)).otherwise(F.col("_p"))
         fresh = materialise(own.select("context", "symbol", p.alias("p"), F.when(is_state, F.col("context")).otherwise(F.col("_state")).alias("state")), "pst-states", tidy=True)
@@ -170,76 +183,321 @@ def tree(transitions: DataFrame) -> DataFrame:
     return known
 
 
-def _spread(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers in order, and to which entry they belong."""
-    flat = np.frombuffer(b"".join(ids), "<i4")
-    return flat, np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
-
-
-def score_words(counted: DataFrame, ends: int) -> tuple[DataFrame, float]:
-    """counted: word, c (0: not learned from). word, c, lp (log10 of the word's probability by the tree), and log10 of the
-    text end's.
-    ends: texts learned from."""
-    spelled = materialise(blocks_of_words(counted), "pst-words", tidy=True)
-    transitions = spelled.where("word IS NULL").select("block", "context", "symbol", "id", "n", "kinds")
-    end = counted.sparkSession.range(1).select(F.lit(START + 1).cast("long").alias("context"), F.lit(END).alias("symbol"), F.lit(ends).cast("long").alias("n"), F.lit(int(ends > 0)).cast("long").alias("kinds"))
-    states = tree(transitions.select("context", "symbol", "n", "kinds").unionByName(end))
-    end_score = states.where((F.col("context") == START + 1) & (F.col("symbol") == END)).agg(F.log10(F.max("p"))).first()[0]
-    back = transitions.select("block", "context", "symbol", "id").join(states, ["context", "symbol"]).select(F.col("block").alias("_block"), "id", F.log10("p").alias("lp"))
+def spell(counted: DataFrame) -> DataFrame:
+    """counted: word, c. word, lp (log10 of the probability of its spelling) of the words with c = 0."""
+    blocks = materialise(blocks_of_words(counted), "pst-words", tidy=True)
+    transitions = blocks.where("word IS NULL")
+    states = spelling_tree(transitions.select("context", "symbol", "n"))
+    back = transitions.where("asked").select("block", "context", "symbol", "id").join(states, ["context", "symbol"]).select(F.col("block").alias("_block"), "id", F.log10("p").alias("lp"))
 
     def give(spelt: pa.Table, known: pa.Table) -> pa.Table:
-        lp = np.zeros(known.num_rows)
-        lp[known.column("id").to_numpy()] = known.column("lp").to_numpy()
-        flat, owner = _spread(spelt.column("ids").to_pylist())
-        return pa.table({"word": spelt.column("word"), "c": spelt.column("c"), "lp": np.bincount(owner, lp[flat], spelt.num_rows)})
+        ids = spelt.column("ids").to_pylist()
+        flat, owner = np.frombuffer(b"".join(ids), "<i4"), np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
+        lp = np.zeros(int(flat.max(initial=-1)) + 1)
+        at = known.column("id").to_numpy()
+        lp[at] = known.column("lp").to_numpy()
+        return pa.table({"word": spelt.column("word"), "lp": np.bincount(owner, lp[flat], spelt.num_rows)})
 
-    own = spelled.where("word IS NOT NULL").select("block", "word", "c", "ids")
-    return own.groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, "word string, c long, lp double"), float(end_score)
+    out = materialise(blocks.where("word IS NOT NULL").select("block", "word", "ids").groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, "word string, lp double"), "pst-spelled", tidy=True)
+    discard(blocks)
+    discard(states)
+    return out
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score (log10 of the unigram model), score (log10 of the tree's),
-    base_unseen and unseen (what tokens that the learning documents lack add to both), and the columns of keep. learn: the rows to learn from; a null counts as false.
+# --- the tree of tokens -----------------------------------------------------------------------------------------------
+
+
+class Model:
+    """What holds for all blocks: the counts' sums, and ranges of contexts at a level."""
+
+    def __init__(self, n_all: int, v: int, once: int, ends: int, positions: int, depth: int, divergence: float, transitions: int):
+        self.n_all, self.v, self.ends = n_all, v, ends
+        self.unknown = (once + 0.5) / (n_all + 1)
+        self.ranges, self.transitions = max(1, -(-positions // transitions)), transitions
+        self.depth, self.divergence = depth, divergence
+
+    def pieces(self, total: np.ndarray) -> np.ndarray:
+        """Into how many pieces a context is split by its next symbol."""
+        return np.where(total * 4 >= self.transitions, np.minimum(-(-total * 4 // self.transitions), self.ranges), 1) if self.ranges > 1 else np.ones(len(total), np.int64)
+
+    def range_of(self, context: np.ndarray, symbol: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        piece = symbol % pieces.astype(np.uint64)
+        return (_mix(context + piece * _M) % np.uint64(self.ranges)).astype(np.int64)
+
+
+class Level:
+    """The distinct transitions of a block at one length of contexts, sorted by context and symbol."""
+
+    def __init__(self, block: Block, context: np.ndarray, hashes: np.ndarray, total: np.ndarray, at: np.ndarray, model: Model):
+        """context: numbers of contexts (of the places at) into hashes and total."""
+        size = np.int64(len(block.hash))
+        key = context * size + block.symbol[at]
+        unique, first, self.of_place = np.unique(key, return_index=True, return_inverse=True)
+        self.at = at
+        owner, symbol = unique // size, unique % size
+        self.head = np.ones(len(unique), bool)  # the first transition of each context
+        self.head[1:] = owner[1:] != owner[:-1]
+        self.owner = np.cumsum(self.head) - 1
+        ids = owner[self.head]
+        self.hash, self.total = hashes[ids], total[ids]
+        self.pieces = model.pieces(self.total)
+        self.symbol = block.hash[symbol]
+        self.n = np.bincount(self.of_place, block.learn[at].astype(np.float64), len(unique)).astype(np.int64)
+        self.q = block.q[at[first]]
+        part = model.range_of(self.hash[self.owner], self.symbol, self.pieces[self.owner])
+        self.order = np.argsort(part, kind="stable")
+        self.parts, starts = np.unique(part[self.order], return_index=True)
+        self.slices = [self.order[a:b] for a, b in zip(starts, [*starts[1:], len(part)], strict=True)]
+
+    def questions(self, block_id: int) -> dict[str, list]:
+        out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq", "hot")}
+        for part, own in zip(self.parts.tolist(), self.slices, strict=True):
+            owner = self.owner[own]
+            head = np.ones(len(own), bool)
+            head[1:] = owner[1:] != owner[:-1]
+            c = owner[head]
+            many = np.diff(np.append(np.flatnonzero(head), len(own)))
+            sym = self.symbol[own] & np.uint64((1 << 40) - 1)
+            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze((sym >> np.uint64(32)).astype("<u1")) + b"|" + (sym & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), _squeeze(self.n[own].astype("<u4")), _squeeze(np.log(self.q[own]).astype("<f2")), None)
+            for x, y in zip(out, row, strict=True):
+                out[x].append(y)
+        for c in np.flatnonzero(self.pieces > 1).tolist():
+            for x, y in zip(out, (block_id, None, None, None, None, None, None, None, int(self.hash[c].view(np.int64))), strict=True):
+                out[x].append(y)
+        return out
+
+    def answers(self, given: list[dict], divergence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each transition its count, and of its context the successors and whether it is a state."""
+        n = np.zeros(len(self.owner))
+        kinds, gain = np.zeros(len(self.hash)), np.full(len(self.hash), -np.inf)
+        place = {p: k for k, p in enumerate(self.parts.tolist())}
+        hot = {h: k for k, h in enumerate(self.hash.view(np.int64).tolist()) if self.pieces[k] > 1} if (self.pieces > 1).any() else {}
+        for r in given:
+            if r["part"] is not None:
+                own = self.slices[place[r["part"]]]
+                n[own] = _unsqueeze(r["n"], "<u4")
+                owner = self.owner[own]
+                head = np.ones(len(own), bool)
+                head[1:] = owner[1:] != owner[:-1]
+                c = owner[head]
+                whole = self.pieces[c] == 1
+                kinds[c[whole]] = _unsqueeze(r["kinds"], "<u4")[whole]
+                gain[c[whole]] = _unsqueeze(r["gain"], "<f4")[whole]
+            else:
+                kinds[hot[r["hot"]]], gain[hot[r["hot"]]] = r["hot_kinds"], r["hot_gain"]
+        return n, kinds[self.owner], (gain >= divergence)[self.owner]
+
+
+class Block:
+    """Places: for each document its start, its words and its end. symbol and word: numbers into hash; the last three are the
+    start, the end, and words met once or never, which are one symbol."""
+
+    def __init__(self, docs: pa.Table, vocabulary: dict, model: Model):
+        h, c = _unsqueeze(vocabulary["h"], "<u8") if vocabulary else np.zeros(0, np.uint64), _unsqueeze(vocabulary["c"], "<i8") if vocabulary else np.zeros(0, np.int64)
+        m, n = len(h), docs.num_rows
+        seqs = [_unsqueeze(x, "<i4") for x in docs.column("seq").to_pylist()]
+        counts = np.array([len(x) for x in seqs], np.int64)
+        starts = np.cumsum(counts + 2) - (counts + 2)
+        total = int((counts + 2).sum())
+        self.doc = np.repeat(np.arange(n), counts + 2)
+        word = np.empty(total, np.int64)
+        is_word = np.ones(total, bool)
+        is_word[starts] = is_word[starts + counts + 1] = False
+        word[is_word] = np.concatenate([np.zeros(0, np.int32), *seqs])
+        word[starts], word[starts + counts + 1] = m, m + 1
+        self.hash = np.concatenate([_mix(h), np.arange(1, 4, dtype=np.uint64) * _M])
+        count = np.concatenate([c, [model.ends, model.ends, 0]])
+        self.word, self.is_start, self.counts, self.n_docs = word, np.isin(np.arange(total), starts), counts, n
+        self.count = count[word]
+        rare = self.count < 2
+        self.symbol = np.where(rare, m + 2, word)
+        self.learn = docs.column("learn").to_numpy(zero_copy_only=False)[self.doc] & ~self.is_start
+        # probabilities of the token itself, and of its symbol
+        self.p = np.where(self.count > 0, (1 - model.unknown) * self.count / max(model.n_all, 1), model.unknown)
+        self.q = np.where(rare, model.unknown, self.p)
+        self.levels: list[Level] = []
+        self._at = np.flatnonzero(~self.is_start)
+        self._ids, self._hash, self._total = word[self._at - 1], self.hash, count
+        self._alive = count[word[self._at - 1]] >= 2
+        self.model = model
+
+    def next_level(self) -> Level:
+        """Contexts one token longer, of the places where the shorter one's count is two or more."""
+        at = self._at[self._alive]
+        level = Level(self, self._ids[self._alive], self._hash, self._total, at, self.model)
+        self.levels.append(level)
+        return level
+
+    def learn_level(self, level: Level, given: list[dict]) -> None:
+        n, kinds, state = level.answers(given, self.model.divergence)
+        t = level.total[level.owner]
+        e = level.of_place
+        at = level.at
+        own, weight, whole = n[e], kinds[e], state[e]
+        below = t[e] + weight
+        once = self.count[at] == 1
+        self.p[at] = np.where(whole, (np.where(once, 0, own) + weight * self.p[at]) / below, self.p[at])
+        self.q[at] = np.where(whole, (own + weight * self.q[at]) / below, self.q[at])
+        # a transition is the context of the place after it; one that ends in a rare word is none
+        entry = np.full(len(self.word), -1)
+        entry[at] = e
+        places = np.flatnonzero(~self.is_start)
+        before = entry[places - 1]
+        alive = (before >= 0) & (self.count[places - 1] >= 2)
+        self._at, self._ids, self._total = places, before, n.astype(np.int64)
+        self._hash = _mix(level.hash[level.owner] * _M + level.symbol)
+        self._alive = alive
+        self._alive[alive] = n[before[alive]] >= 2
+
+
+_QUESTION = "block long, part long, ctx binary, many binary, total binary, sym binary, n binary, lnq binary, hot long"
+_ANSWER = "block long, part long, level int, n binary, kinds binary, gain binary, hot long, hot_kinds double, hot_gain double, h binary, c binary, lp binary"
+
+
+def _block_of(rows: pa.Table, given: pa.Table, model: Model) -> tuple[Block, dict]:
+    """The block with all levels for which answers are given."""
+    vocabulary: dict = {}
+    by_level: dict[int, list[dict]] = {}
+    for r in given.to_pylist():
+        if r["level"] is None:
+            vocabulary = r
+        else:
+            by_level.setdefault(r["level"], []).append(r)
+    block = Block(rows, vocabulary, model)
+    return block, vocabulary | {"by_level": by_level}
+
+
+def _ask(texts: DataFrame, answers: DataFrame, model: Model, depth: int) -> DataFrame:
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+        kinds = {"block": pa.int64(), "part": pa.int64(), "hot": pa.int64()}
+        fields = [x.split()[0] for x in _QUESTION.split(", ")]
+        if not rows.num_rows:
+            return pa.table({f: pa.array([], kinds.get(f, pa.binary())) for f in fields})
+        block, known = _block_of(rows, given, model)
+        for d in range(1, depth):
+            block.learn_level(block.next_level(), known["by_level"].get(d, []))
+        out = block.next_level().questions(rows.column("block")[0].as_py())
+        return pa.table({f: pa.array(out[f], kinds.get(f, pa.binary())) for f in fields})
+
+    return texts.select("block", "learn", "seq").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _QUESTION)
+
+
+def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
+    """For each range the counts of its transitions, and of each context its successors and its gain: the nats by which it
+    gives its occurrences more than its parent does, each left out in turn."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        ctx = [np.frombuffer(x, "<u8") for x in rows.column("ctx").to_pylist()]
+        many = [_unsqueeze(x, "<u4").astype(np.int64) for x in rows.column("many").to_pylist()]
+        total = np.concatenate([_unsqueeze(x, "<i8") for x in rows.column("total").to_pylist()])
+        sym = []
+        for x, m in zip(rows.column("sym").to_pylist(), many, strict=True):
+            low = 4 * int(m.sum())
+            sym.append(np.frombuffer(x[-low:], "<u4").astype(np.int64) | _unsqueeze(x[: -low - 1], "<u1").astype(np.int64) << 32)
+        n = np.concatenate([_unsqueeze(x, "<u4") for x in rows.column("n").to_pylist()]).astype(np.float64)
+        lnq = np.concatenate([_unsqueeze(x, "<f2") for x in rows.column("lnq").to_pylist()]).astype(np.float64)
+        distinct, first, code = np.unique(np.concatenate(ctx), return_index=True, return_inverse=True)
+        total = total[first].astype(np.float64)
+        key = (np.repeat(code, np.concatenate(many)) << 40) | np.concatenate(sym)
+        unique, at, entry = np.unique(key, return_index=True, return_inverse=True)
+        added = np.bincount(entry, n, len(unique))
+        owner = unique >> 40
+        kinds = np.bincount(owner, added > 0, len(distinct))
+        pieces = model.pieces(total.astype(np.int64)).astype(np.float64)
+        # of a split context this piece has about its share of the successors
+        successors = (kinds * pieces)[owner] - (added == 1)
+        t = total[owner]
+        q = np.exp(lnq[at])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = (added - 1 + successors * q) / (t - 1 + successors)
+            term = np.where(added > 0, added * (np.log(np.maximum(left, 1e-300)) - lnq[at]), 0.0)
+        gain = np.bincount(owner, term, len(distinct))
+        sizes, lengths = [len(x) for x in ctx], [int(x.sum()) for x in many]
+        c_at, e_at = np.cumsum([0, *sizes]), np.cumsum([0, *lengths])
+        codes = [code[a:b] for a, b in zip(c_at[:-1], c_at[1:], strict=True)]
+        split = np.flatnonzero(pieces > 1)
+        k, hot = len(ctx), len(split)
+        return pa.table({
+            "block": pa.array([*rows.column("block").to_pylist(), *[None] * hot], pa.int64()), "part": pa.array([part] * k + [None] * hot, pa.int64()), "level": pa.array([depth] * (k + hot), pa.int32()),
+            "n": pa.array([_squeeze(added[entry[a:b]].astype("<u4")) for a, b in zip(e_at[:-1], e_at[1:], strict=True)] + [None] * hot, pa.binary()),
+            "kinds": pa.array([_squeeze(kinds[x].astype("<u4")) for x in codes] + [None] * hot, pa.binary()), "gain": pa.array([_squeeze(gain[x].astype("<f4")) for x in codes] + [None] * hot, pa.binary()),
+            "hot": pa.array([None] * k + distinct[split].view(np.int64).tolist(), pa.int64()), "hot_kinds": pa.array([None] * k + kinds[split].tolist(), pa.float64()), "hot_gain": pa.array([None] * k + gain[split].tolist(), pa.float64()),
+            "h": pa.nulls(k + hot, pa.binary()), "c": pa.nulls(k + hot, pa.binary()), "lp": pa.nulls(k + hot, pa.binary()),
+        })
+
+    return questions.groupBy("part").applyInArrow(run, _ANSWER)
+
+
+def _vocabularies(known: DataFrame) -> DataFrame:
+    """known: block, id, h, c, lp. A row for each block, in the schema of answers."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("id").to_numpy())
+        column = lambda x, kind: [_squeeze(rows.column(x).to_numpy()[order].astype(kind))]
+        given = {"block": [rows.column("block")[0].as_py()], "h": column("h", "<i8"), "c": column("c", "<i8"), "lp": column("lp", "<f8")}
+        types = {"block": pa.int64(), "part": pa.int64(), "level": pa.int32(), "hot": pa.int64(), "hot_kinds": pa.float64(), "hot_gain": pa.float64()}
+        return pa.table({f: pa.array(given.get(f, [None]), types.get(f, pa.binary())) for f in (x.split()[0] for x in _ANSWER.split(", "))})
+
+    return known.groupBy("block").applyInArrow(run, _ANSWER)
+
+
+def score(
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (),
+    depth: int = DEPTH, divergence: float = DIVERGENCE, transitions: int = RANGE,
+) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score (log10 of the unigram model), score (log10 of the tree's), class_score
+    and root_score (the tree's, and its root's, with words that the learning documents lack as one symbol, not spelled),
+    and the columns of keep. learn: the rows to learn from; a null counts as false.
 
     Tokens are words in lower case (A-Z) and one end. A null text is the empty one, whose only token is its end; repeated
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
     parts = materialise(blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep), "pst-documents", tidy=True)
-    names = parts.columns[9:]
     texts, vocabulary = parts.where("word IS NULL"), parts.where("word IS NOT NULL")
     counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")), "pst-counts", tidy=True)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
-    ends = texts.where("learn").count()
-    n_all, v = sums["n"] + ends, sums["v"] + (ends > 0)
-    unknown = (sums["once"] + 0.5) / (n_all + 1)
-    worded, end_score = score_words(counted, ends)
-    scored = materialise(worded, "pst-scored", tidy=True)
-    end_score += float(np.log10(1 - unknown if ends else unknown))
-    back = vocabulary.select("block", "word", "id").join(scored, "word").select(F.col("block").alias("_block"), "id", "c", "lp")
-    below = n_all + 0.5 * (v + 1)
-    end_base = float(np.log10((ends + 0.5) / below))
-
-    def give(rows: pa.Table, known: pa.Table) -> pa.Table:
-        steps, owner = _spread(rows.column("ids").to_pylist())
-        flat = np.cumsum(steps, dtype=np.int64)
-        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        flat -= np.repeat(np.where(heads > 0, flat[heads - 1], 0) if len(heads) else np.zeros(0, np.int64), np.diff(np.append(heads, len(owner))))
-        size = int(flat.max(initial=-1)) + 1
-        c, lp = np.zeros(size), np.zeros(size)
-        at = known.column("id").to_numpy()
-        c[at], lp[at] = known.column("c").to_numpy(), known.column("lp").to_numpy()
-        lp += np.where(c > 0, np.log10(1 - unknown), np.log10(unknown))
-        base = np.log10((c + 0.5) / below)
-        ns = _spread(rows.column("ns").to_pylist())[0]
-        n = rows.num_rows
-        known_words = np.bincount(owner, ns * (c[flat] > 0), n).astype(np.int64)
-        lacking = ns * (c[flat] == 0)
+    size = texts.agg(F.count(F.when(F.col("learn"), 1)).alias("ends"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0)).alias("n")).first()
+    ends = size["ends"]
+    model = Model(sums["n"] + ends, sums["v"] + (ends > 0), sums["once"], ends, size["n"], depth, divergence, transitions)
+    spelled = spell(counted)
+    scored = counted.join(spelled, "word", "left").select("word", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"))
+    known = vocabulary.select("block", "word", "id", "h").join(scored, "word").select("block", "id", "h", "c", "lp")
+    answers = materialise(_vocabularies(known), "pst-vocabularies", tidy=True)
+    discard(counted)
+    discard(spelled)
+    for d in range(1, depth + 1):
+        asked = materialise(_ask(texts, answers, model, d), "pst-questions", tidy=True)
+        got = materialise(_add_up(asked.where("part IS NOT NULL").select("block", "part", "ctx", "many", "total", "sym", "n", "lnq"), model, d), "pst-answers", tidy=True)
+        # split contexts: the sums of their pieces go to the blocks that asked
+        whole = got.where("part IS NULL").groupBy("hot").agg(F.sum("hot_kinds").alias("hot_kinds"), F.sum("hot_gain").alias("hot_gain"))
+        null = F.lit(None)
+        told = asked.where("part IS NULL").select("block", "hot").join(whole, "hot").select(
+            "block", null.cast("long").alias("part"), F.lit(d).alias("level"), *[null.cast("binary").alias(x) for x in ("n", "kinds", "gain")], "hot", "hot_kinds", "hot_gain", *[null.cast("binary").alias(x) for x in ("h", "c", "lp")]
+        )
+        told = materialise(told, "pst-split")
+        answers = answers.unionByName(got.where("part IS NOT NULL")).unionByName(told)
+        discard(asked)
+    below = model.n_all + 0.5 * (model.v + 1)
+
+    def give(rows: pa.Table, given: pa.Table) -> pa.Table:
+        block, held = _block_of(rows, given, model)
+        root = block.p.copy()
+        for d in range(1, depth + 1):
+            block.learn_level(block.next_level(), held["by_level"].get(d, []))
+        lp = np.append(_unsqueeze(held["lp"], "<f8") if "lp" in held else np.zeros(0), [0.0, 0.0])
+        at = ~block.is_start
+        doc, n = block.doc[at], block.n_docs
+        total = lambda x: np.bincount(doc, x, n)
+        count = block.count[at]
+        spelling = total(np.where(count > 0, 0.0, lp[block.word[at]]))
+        in_class = total(np.log10(block.p[at]))
         columns = {
-            "doc_id": rows.column("doc_id"), "n_tokens": rows.column("n_words").to_numpy() + 1, "n_known": known_words + (1 if ends else 0), "train_tokens": np.full(n, n_all),
-            "base_score": np.bincount(owner, ns * base[flat], n) + end_base, "score": np.bincount(owner, ns * lp[flat], n) + end_score,
-            "base_unseen": np.bincount(owner, lacking * base[flat], n) + (0 if ends else end_base), "unseen": np.bincount(owner, lacking * lp[flat], n) + (0 if ends else end_score),
-        } | {x: rows.column(x) for x in names}
+            "doc_id": rows.column("doc_id"), "n_tokens": block.counts + 1, "n_known": total(count > 0).astype(np.int64), "train_tokens": np.full(n, model.n_all), "base_score": total(np.log10((count + 0.5) / below)),
+            "score": in_class + spelling, "class_score": in_class, "root_score": total(np.log10(root[at])), "_keep": rows.column("_keep"),
+        }
         return pa.table(columns)
 
-    extra = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields[9:]]
-    own = texts.select("block", "doc_id", "n_words", "ids", "ns", *names)
-    return own.groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, ", ".join(["doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, base_unseen double, unseen double", *extra]))
+    kept = parts.schema["_keep"].dataType
+    own = texts.select("block", "doc_id", "learn", "seq", "_keep")
+    out = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(give, f"doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, class_score double, root_score double, _keep {kept.simpleString()}")
+    return out.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "class_score", "root_score", *[f"_keep.`{f}`" for f in kept.names[1:]])
