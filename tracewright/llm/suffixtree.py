@@ -20,14 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import discard, materialise
+from tracewright.llm.shared import discard, materialise, materialise_halves
 from tracewright.llm.textops import gathered, words
 
 #: Tokens of a context at most; nats by which it must diverge.
@@ -65,7 +64,7 @@ def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
 
 def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Column, keep: tuple[Column, ...]) -> DataFrame:
     """Rows of documents (block, doc_id, learn, n_words, seq: its words' numbers, and the columns of keep) and rows of words
-    (block, word, id, h: a hash, train: how often the block's learning documents have it)."""
+    (block, word, id, train: how often the block's learning documents have it)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), learn.alias("_learn"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
     kept = rows.schema["_keep"].dataType.simpleString()
 
@@ -80,16 +79,15 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
             train = np.bincount(w.codes, learn_row[w.rows()].astype(np.float64), m).astype(np.int64)
             seq = pa.array([_squeeze(w.codes[a:b].astype("<i4")) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)], pa.binary())
             doc = {"doc_id": part.column("doc_id"), "learn": part.column("_learn"), "n_words": pa.array(w.counts), "seq": seq, "_keep": part.column("_keep")}
-            hashes = pd.util.hash_array(w.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64) if m else np.zeros(0, np.int64)
-            word = {"word": w.dictionary.cast(pa.string()), "id": pa.array(np.arange(m, dtype=np.int32)), "h": pa.array(hashes), "train": pa.array(train)}
-            fields = {"block": pa.int64(), "word": pa.string(), "id": pa.int32(), "h": pa.int64(), "train": pa.int64(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
+            word = {"word": w.dictionary.cast(pa.string()), "id": pa.array(np.arange(m, dtype=np.int32)), "train": pa.array(train)}
+            fields = {"block": pa.int64(), "word": pa.string(), "id": pa.int32(), "train": pa.int64(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
             for given, size in ((doc, n), (word, m)):
                 if size:
                     columns = [pa.array(np.full(size, serial)) if f == "block" else given.get(f, pa.nulls(size, t)) for f, t in fields.items()]
                     yield pa.RecordBatch.from_arrays(columns, names=list(fields))
             serial += 1
 
-    return rows.mapInArrow(run, f"block long, word string, id int, h long, train long, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
+    return rows.mapInArrow(run, f"block long, word string, id int, train long, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
 
 
 # --- spelling ---------------------------------------------------------------------------------------------------------
@@ -250,7 +248,7 @@ class Level:
         self.slices = [self.order[a:b] for a, b in zip(starts, [*starts[1:], len(part)], strict=True)]
 
     def questions(self, block_id: int) -> dict[str, list]:
-        out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq", "hot")}
+        out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq")}
         for part, own in zip(self.parts.tolist(), self.slices, strict=True):
             owner = self.owner[own]
             head = np.ones(len(own), bool)
@@ -258,18 +256,15 @@ class Level:
             c = owner[head]
             many = np.diff(np.append(np.flatnonzero(head), len(own)))
             sym = self.symbol[own] & np.uint64((1 << 40) - 1)
-            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze((sym >> np.uint64(32)).astype("<u1")) + b"|" + (sym & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), _squeeze(self.n[own].astype("<u4")), _squeeze(np.log(self.q[own]).astype("<f2")), None)
+            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze((sym >> np.uint64(32)).astype("<u1")) + b"|" + (sym & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), _squeeze(self.n[own].astype("<u4")), _squeeze(np.log(self.q[own]).astype("<f2")))
             for x, y in zip(out, row, strict=True):
                 out[x].append(y)
-        for c in np.flatnonzero(self.pieces > 1).tolist():
-            for x, y in zip(out, (block_id, None, None, None, None, None, None, None, int(self.hash[c].view(np.int64))), strict=True):
-                out[x].append(y)
         return out
 
     def answers(self, given: list[dict], divergence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each transition its count, and of its context the successors and whether it is a state."""
         n = np.zeros(len(self.owner))
-        kinds, gain = np.zeros(len(self.hash)), np.full(len(self.hash), -np.inf)
+        kinds, state = np.zeros(len(self.hash)), np.zeros(len(self.hash), bool)
         place = {p: k for k, p in enumerate(self.parts.tolist())}
         hot = {h: k for k, h in enumerate(self.hash.view(np.int64).tolist()) if self.pieces[k] > 1} if (self.pieces > 1).any() else {}
         for r in given:
@@ -282,10 +277,10 @@ class Level:
                 c = owner[head]
                 whole = self.pieces[c] == 1
                 kinds[c[whole]] = _unsqueeze(r["kinds"], "<u4")[whole]
-                gain[c[whole]] = _unsqueeze(r["gain"], "<f4")[whole]
+                state[c[whole]] = _unsqueeze(r["state"], "?")[whole]
             else:
-                kinds[hot[r["hot"]]], gain[hot[r["hot"]]] = r["hot_kinds"], r["hot_gain"]
-        return n, kinds[self.owner], (gain >= divergence)[self.owner]
+                kinds[hot[r["hot"]]], state[hot[r["hot"]]] = r["kinds_sum"], r["gain_sum"] >= divergence
+        return n, kinds[self.owner], state[self.owner]
 
 
 class Block:
@@ -350,8 +345,15 @@ class Block:
         self._alive[alive] = n[before[alive]] >= 2
 
 
-_QUESTION = "block long, part long, ctx binary, many binary, total binary, sym binary, n binary, lnq binary, hot long"
-_ANSWER = "block long, part long, level int, n binary, kinds binary, gain binary, hot long, hot_kinds double, hot_gain double, h binary, c binary, lp binary"
+_QUESTION = "block long, part long, ctx binary, many binary, total binary, sym binary, n binary, lnq binary"
+_ANSWER = "block long, part long, level int, n binary, kinds binary, state binary, hot long, kinds_sum double, gain_sum double, h binary, c binary, lp binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _table(schema: str, size: int, **given) -> pa.Table:
+    """Columns that are given, the others null."""
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({f: pa.array(given[f], _TYPES[t]) if f in given else pa.nulls(size, _TYPES[t]) for f, t in fields})
 
 
 def _block_of(rows: pa.Table, given: pa.Table, model: Model) -> tuple[Block, dict]:
@@ -369,15 +371,13 @@ def _block_of(rows: pa.Table, given: pa.Table, model: Model) -> tuple[Block, dic
 
 def _ask(texts: DataFrame, answers: DataFrame, model: Model, depth: int) -> DataFrame:
     def run(rows: pa.Table, given: pa.Table) -> pa.Table:
-        kinds = {"block": pa.int64(), "part": pa.int64(), "hot": pa.int64()}
-        fields = [x.split()[0] for x in _QUESTION.split(", ")]
         if not rows.num_rows:
-            return pa.table({f: pa.array([], kinds.get(f, pa.binary())) for f in fields})
+            return _table(_QUESTION, 0)
         block, known = _block_of(rows, given, model)
         for d in range(1, depth):
             block.learn_level(block.next_level(), known["by_level"].get(d, []))
         out = block.next_level().questions(rows.column("block")[0].as_py())
-        return pa.table({f: pa.array(out[f], kinds.get(f, pa.binary())) for f in fields})
+        return _table(_QUESTION, len(out["block"]), **out)
 
     return texts.select("block", "learn", "seq").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _QUESTION)
 
@@ -413,18 +413,19 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
             left = (added - 1 + successors * q) / (t - 1 + successors)
             term = np.where(added > 0, added * (np.log(np.maximum(left, 1e-300)) - lnq[at]), 0.0)
         gain = np.bincount(owner, term, len(distinct))
-        sizes, lengths = [len(x) for x in ctx], [int(x.sum()) for x in many]
-        c_at, e_at = np.cumsum([0, *sizes]), np.cumsum([0, *lengths])
+        c_at, e_at = np.cumsum([0, *map(len, ctx)]), np.cumsum([0, *(int(x.sum()) for x in many)])
         codes = [code[a:b] for a, b in zip(c_at[:-1], c_at[1:], strict=True)]
+        counts = [added[entry[a:b]].astype("<u4") for a, b in zip(e_at[:-1], e_at[1:], strict=True)]
+        blocks, state = rows.column("block").to_pylist(), gain >= model.divergence
+        out = [_table(_ANSWER, len(ctx), block=blocks, part=[part] * len(ctx), level=[depth] * len(ctx), n=list(map(_squeeze, counts)), kinds=[_squeeze(kinds[x].astype("<u4")) for x in codes], state=[_squeeze(state[x]) for x in codes])]
+        # split contexts: this piece's sums, and which blocks ask for them
         split = np.flatnonzero(pieces > 1)
-        k, hot = len(ctx), len(split)
-        return pa.table({
-            "block": pa.array([*rows.column("block").to_pylist(), *[None] * hot], pa.int64()), "part": pa.array([part] * k + [None] * hot, pa.int64()), "level": pa.array([depth] * (k + hot), pa.int32()),
-            "n": pa.array([_squeeze(added[entry[a:b]].astype("<u4")) for a, b in zip(e_at[:-1], e_at[1:], strict=True)] + [None] * hot, pa.binary()),
-            "kinds": pa.array([_squeeze(kinds[x].astype("<u4")) for x in codes] + [None] * hot, pa.binary()), "gain": pa.array([_squeeze(gain[x].astype("<f4")) for x in codes] + [None] * hot, pa.binary()),
-            "hot": pa.array([None] * k + distinct[split].view(np.int64).tolist(), pa.int64()), "hot_kinds": pa.array([None] * k + kinds[split].tolist(), pa.float64()), "hot_gain": pa.array([None] * k + gain[split].tolist(), pa.float64()),
-            "h": pa.nulls(k + hot, pa.binary()), "c": pa.nulls(k + hot, pa.binary()), "lp": pa.nulls(k + hot, pa.binary()),
-        })
+        if len(split):
+            out.append(_table(_ANSWER, len(split), hot=distinct[split].view(np.int64), kinds_sum=kinds[split], gain_sum=gain[split]))
+            for block, own in zip(blocks, codes, strict=True):
+                own = distinct[own[pieces[own] > 1]].view(np.int64)
+                out.append(_table(_ANSWER, len(own), block=[block] * len(own), hot=own))
+        return pa.concat_tables(out)
 
     return questions.groupBy("part").applyInArrow(run, _ANSWER)
 
@@ -435,9 +436,7 @@ def _vocabularies(known: DataFrame) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("id").to_numpy())
         column = lambda x, kind: [_squeeze(rows.column(x).to_numpy()[order].astype(kind))]
-        given = {"block": [rows.column("block")[0].as_py()], "h": column("h", "<i8"), "c": column("c", "<i8"), "lp": column("lp", "<f8")}
-        types = {"block": pa.int64(), "part": pa.int64(), "level": pa.int32(), "hot": pa.int64(), "hot_kinds": pa.float64(), "hot_gain": pa.float64()}
-        return pa.table({f: pa.array(given.get(f, [None]), types.get(f, pa.binary())) for f in (x.split()[0] for x in _ANSWER.split(", "))})
+        return _table(_ANSWER, 1, block=[rows.column("block")[0].as_py()], h=column("h", "<i8"), c=column("c", "<i8"), lp=column("lp", "<f8"))
 
     return known.groupBy("block").applyInArrow(run, _ANSWER)
 
@@ -452,8 +451,8 @@ def score(
 
     Tokens are words in lower case (A-Z) and one end. A null text is the empty one, whose only token is its end; repeated
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
-    parts = materialise(blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep), "pst-documents", tidy=True)
-    texts, vocabulary = parts.where("word IS NULL"), parts.where("word IS NOT NULL")
+    parts = blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep)
+    texts, vocabulary = materialise_halves(parts, F.col("word").isNull(), "pst-documents")
     counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")), "pst-counts", tidy=True)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     size = texts.agg(F.count(F.when(F.col("learn"), 1)).alias("ends"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0)).alias("n")).first()
@@ -461,22 +460,17 @@ def score(
     model = Model(sums["n"] + ends, sums["v"] + (ends > 0), sums["once"], ends, size["n"], depth, divergence, transitions)
     spelled = spell(counted)
     scored = counted.join(spelled, "word", "left").select("word", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"))
-    known = vocabulary.select("block", "word", "id", "h").join(scored, "word").select("block", "id", "h", "c", "lp")
+    known = vocabulary.select("block", "word", "id").join(scored, "word").select("block", "id", F.xxhash64("word").alias("h"), "c", "lp")
     answers = materialise(_vocabularies(known), "pst-vocabularies", tidy=True)
-    discard(counted)
-    discard(spelled)
+    for used in (counted, spelled, vocabulary):
+        discard(used)
     for d in range(1, depth + 1):
-        asked = materialise(_ask(texts, answers, model, d), "pst-questions", tidy=True)
-        got = materialise(_add_up(asked.where("part IS NOT NULL").select("block", "part", "ctx", "many", "total", "sym", "n", "lnq"), model, d), "pst-answers", tidy=True)
+        got = materialise(_add_up(_ask(texts, answers, model, d), model, d), "pst-answers", tidy=True)
         # split contexts: the sums of their pieces go to the blocks that asked
-        whole = got.where("part IS NULL").groupBy("hot").agg(F.sum("hot_kinds").alias("hot_kinds"), F.sum("hot_gain").alias("hot_gain"))
-        null = F.lit(None)
-        told = asked.where("part IS NULL").select("block", "hot").join(whole, "hot").select(
-            "block", null.cast("long").alias("part"), F.lit(d).alias("level"), *[null.cast("binary").alias(x) for x in ("n", "kinds", "gain")], "hot", "hot_kinds", "hot_gain", *[null.cast("binary").alias(x) for x in ("h", "c", "lp")]
-        )
-        told = materialise(told, "pst-split")
-        answers = answers.unionByName(got.where("part IS NOT NULL")).unionByName(told)
-        discard(asked)
+        whole = got.where("block IS NULL").groupBy("hot").agg(F.sum("kinds_sum").alias("kinds_sum"), F.sum("gain_sum").alias("gain_sum"))
+        told = got.where("block IS NOT NULL AND part IS NULL").select("block", "hot").distinct().join(whole, "hot")
+        told = told.withColumns({"part": F.lit(None).cast("long"), "level": F.lit(d)} | {x: F.lit(None).cast("binary") for x in ("n", "kinds", "state", "h", "c", "lp")})
+        answers = answers.unionByName(got.where("part IS NOT NULL")).unionByName(told.select(*answers.columns))
     below = model.n_all + 0.5 * (model.v + 1)
 
     def give(rows: pa.Table, given: pa.Table) -> pa.Table:
@@ -497,7 +491,7 @@ def score(
         }
         return pa.table(columns)
 
-    kept = parts.schema["_keep"].dataType
+    kept = texts.schema["_keep"].dataType
     own = texts.select("block", "doc_id", "learn", "seq", "_keep")
     out = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(give, f"doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, class_score double, root_score double, _keep {kept.simpleString()}")
     return out.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "class_score", "root_score", *[f"_keep.`{f}`" for f in kept.names[1:]])
