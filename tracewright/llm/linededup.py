@@ -18,7 +18,7 @@ from tracewright.llm.textops import slices, words
 #: Pieces of a window; words that a removed run or each window needs; most words of a line, and word gaps of which one at least ends a line.
 WINDOW, LEAST_WORDS, WRAP = 3, 10, 10
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_M = np.uint64(0x9E3779B97F4A7C15)
+_M, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,8 @@ class Lines:
     of both, so that equal passages are cut alike wherever they begin, but for less than WRAP words at their ends.
 
     doc, word_line: of each word; line_doc: of each line; piece_doc, first_word, n_words: of each piece, the words counted
-    in its document. window_piece: the piece that each window begins with; window_hash: uint64."""
+    in its document. window_piece: the piece that each window begins with; window_hash: uint64;
+    window_check: uint32, other bits of a hash of the same pieces."""
 
     def __init__(self, texts: pa.Array, per_run: bool = False):
         texts = pc.replace_substring(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\x01", "\x02"), "\n", " \x01 ")
@@ -91,7 +92,7 @@ class Lines:
         self.piece_doc = doc[first]
         counts = np.bincount(doc, minlength=len(texts))
         self.first_word = first - (np.cumsum(counts) - counts)[self.piece_doc]
-        self.window_piece, self.window_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.window_piece, self.window_hash, self.window_check = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         if len(first) >= WINDOW:
             powers = np.cumprod(np.full(WRAP, _M, np.uint64), dtype=np.uint64)
             piece = _mix(np.add.reduceat(of_word * powers[since % WRAP], first) + self.n_words.astype(np.uint64))
@@ -99,10 +100,11 @@ class Lines:
             good = self.piece_doc[:m] == self.piece_doc[WINDOW - 1 :]
             if not per_run:
                 good &= sum(self.n_words[k : k + m] for k in range(WINDOW)) >= LEAST_WORDS
-            h = np.zeros(m, np.uint64)
+            h, check = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
             for k in range(WINDOW):
                 h = _mix(h * _M + piece[k : k + m])
-            self.window_piece, self.window_hash = np.flatnonzero(good), h[good]
+                check = _mix(check * _M2 + piece[WINDOW - 1 - k : WINDOW - 1 - k + m])
+            self.window_piece, self.window_hash, self.window_check = np.flatnonzero(good), h[good], (check[good] >> np.uint64(32)).astype(np.uint32)
 
     def covered(self, windows: np.ndarray) -> np.ndarray:
         """Which pieces lie in these windows (a mask over the windows), in runs of LEAST_WORDS words or more."""
@@ -118,7 +120,7 @@ class Lines:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, per_run: bool = False) -> DataFrame:
-    """h, doc_id, k: the distinct windows of each document; k is doc_id, or for a null id a hash of the text."""
+    """h, check, doc_id, k: the distinct windows of each document; k is doc_id, or for a null id a hash of the text."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.when(docs[id_col].isNull(), F.xxhash64(text)).alias("k"), text.alias("text"))
 
@@ -132,9 +134,9 @@ def windows(docs: DataFrame, id_col: str, text_col: str, per_run: bool = False)
                 fresh = np.ones(len(d), bool)
                 fresh[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
                 at = pa.array(d[fresh])
-                yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), part.column("doc_id").take(at), part.column("k").take(at)], names=["h", "doc_id", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(x.window_check[order][fresh].view(np.int32)), part.column("doc_id").take(at), part.column("k").take(at)], names=["h", "check", "doc_id", "k"])
 
-    return rows.mapInArrow(run, "h long, doc_id long, k long")
+    return rows.mapInArrow(run, "h long, check int, doc_id long, k long")
 
 
 def cut(text: str | None, starts: np.ndarray, lengths: np.ndarray) -> str:
@@ -156,13 +158,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     but its first occurrence are removed, overlapping ones as one run. Rows with the same id count as one document. Rows
     with a null id come last, and among themselves repeat nothing. Null texts stay null with no lines; texts of under
     three pieces are left, and with per_run the runs, without it all windows of under LEAST_WORDS words; an empty table gives no rows; other columns are ignored.
-    Hashes have 64 bits, so two given windows fall together by chance with odds of 2^-64.
+    Windows of different documents are the same if 96 bits of hashes of their pieces agree.
 
     A window goes to the shuffle as hash and id; a frequent one is summed by the tasks first, and the join that brings
     its first owner back is left to adaptive execution to split."""
     found = materialise(windows(docs, id_col, text_col, per_run), "line-windows")
-    first = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").select("h", "first_id")
-    later = found.join(first, "h").where("doc_id IS NULL OR doc_id > first_id")
+    first = found.groupBy("h", "check").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").select("h", "check", "first_id")
+    later = found.join(first, ["h", "check"]).where("doc_id IS NULL OR doc_id > first_id")
     gone = materialise(later.groupBy("doc_id", "k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "k": "_k"}), "line-repeats")
     discard(found)
     text = docs[text_col].cast("string")
