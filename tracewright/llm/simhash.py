@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import components
@@ -56,16 +56,17 @@ def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, seed: int =
     return out
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, bits (the fingerprint as a signed long) of whole texts."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text"))
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, bits (the fingerprint as a signed long) of whole texts, and the columns of keep."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text"), *keep)
+    extra = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
             f = fingerprints(part.column("text").to_pylist(), shingle, seed)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(f.view(np.int64))], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(f.view(np.int64)), *part.columns[2:]], names=["doc_id", "bits", *part.schema.names[2:]])
 
-    return rows.mapInArrow(run, "doc_id long, bits long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long, bits long", *extra]))
 
 
 # --- bit-sliced comparison ------------------------------------------------------------------------------------------
@@ -321,21 +322,21 @@ def close_links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, m
     return found.unionByName(rest.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, bits, component_id: documents whose fingerprints differ in at most radius bits are linked; component_id is
-    the smallest doc_id that links lead to.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, bits, component_id, root, and the columns of keep: documents whose fingerprints differ in at most radius bits
+    are linked; component_id is the smallest doc_id that links lead to, root the smallest fingerprint.
 
     Equal fingerprints are first counted as one. Null and empty texts have fingerprint zero and are linked like any other;
     texts of fewer words than a shingle are one shingle; documents with a null id belong to a component but name none, so
     a component of null ids alone has a null id; repeated rows give repeated rows; an empty table gives no rows; other
     columns are ignored."""
-    marked = materialise(fingerprint_documents(docs, id_col, text_col, shingle), "simhash-bits")
+    marked = materialise(fingerprint_documents(docs, id_col, text_col, shingle, keep=keep), "simhash-bits")
     distinct = materialise(marked.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = components(close_links(distinct.select("bits"), radius))
     named = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_bits = named.join(lowest, "root").select("bits", "component_id")
-    return marked.join(by_bits, "bits").select("doc_id", "bits", "component_id")
+    by_bits = named.join(lowest, "root").select("bits", "component_id", "root")
+    return marked.join(by_bits, "bits").select("doc_id", "bits", "component_id", "root", *marked.columns[2:])
 
 
 def hex_of(bits):
