@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm.shared import discard, materialise, materialise_halves
-from tracewright.llm.textops import gathered, words
+from tracewright.llm.textops import gathered, release_memory, words
 
 #: Tokens of a context at most; nats by which it must diverge.
 DEPTH, DIVERGENCE = 2, 0.0
@@ -36,7 +36,7 @@ SPELL_DEPTH, SPELL_DIVERGENCE, SMOOTHING, ROOT_SMOOTHING = 7, 2.0, 1.0, 0.5
 START, STOP, ALPHABET = 256, 257, 257
 _BITS = 9
 #: Bytes of text of a block of documents; words of a block of words; transitions of a range of contexts, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 WORD_BLOCK, WORD_BLOCK_BYTES = 262_144, 4 << 20
 RANGE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -47,14 +47,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """Numbers byte by byte of each (all lowest first), compressed."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+    return _PACK.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
 
 
 def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_UNPACK.decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
@@ -219,7 +222,7 @@ class Model:
         return np.where(total * 4 >= self.transitions, np.minimum(-(-total * 4 // self.transitions), self.ranges), 1) if self.ranges > 1 else np.ones(len(total), np.int64)
 
     def range_of(self, context: np.ndarray, symbol: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-        piece = symbol % pieces.astype(np.uint64)
+        piece = (symbol >> np.uint64(32)) % pieces.astype(np.uint64)
         return (_mix(context + piece * _M) % np.uint64(self.ranges)).astype(np.int64)
 
 
@@ -229,8 +232,8 @@ class Level:
     def __init__(self, block: Block, context: np.ndarray, hashes: np.ndarray, total: np.ndarray, at: np.ndarray, model: Model):
         """context: numbers of contexts (of the places at) into hashes and total."""
         size = np.int64(len(block.hash))
-        key = context * size + block.symbol[at]
-        unique, first, self.of_place = np.unique(key, return_index=True, return_inverse=True)
+        unique, first, of_place = np.unique(context.astype(np.int64) * size + block.symbol[at], return_index=True, return_inverse=True)
+        self.of_place = of_place.astype(np.int32)
         self.at = at
         owner, symbol = unique // size, unique % size
         self.head = np.ones(len(unique), bool)  # the first transition of each context
@@ -255,8 +258,7 @@ class Level:
             head[1:] = owner[1:] != owner[:-1]
             c = owner[head]
             many = np.diff(np.append(np.flatnonzero(head), len(own)))
-            sym = self.symbol[own] & np.uint64((1 << 40) - 1)
-            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze((sym >> np.uint64(32)).astype("<u1")) + b"|" + (sym & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), _squeeze(self.n[own].astype("<u4")), _squeeze(np.log(self.q[own]).astype("<f2")))
+            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), (self.symbol[own] >> np.uint64(32)).astype("<u4").tobytes(), _squeeze(self.n[own].astype("<u4")), _squeeze(np.log(self.q[own]).astype("<f2")))
             for x, y in zip(out, row, strict=True):
                 out[x].append(y)
         return out
@@ -294,18 +296,19 @@ class Block:
         counts = np.array([len(x) for x in seqs], np.int64)
         starts = np.cumsum(counts + 2) - (counts + 2)
         total = int((counts + 2).sum())
-        self.doc = np.repeat(np.arange(n), counts + 2)
-        word = np.empty(total, np.int64)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), counts + 2)
+        word = np.empty(total, np.int32)
         is_word = np.ones(total, bool)
         is_word[starts] = is_word[starts + counts + 1] = False
         word[is_word] = np.concatenate([np.zeros(0, np.int32), *seqs])
         word[starts], word[starts + counts + 1] = m, m + 1
-        self.hash = np.concatenate([_mix(h), np.arange(1, 4, dtype=np.uint64) * _M])
+        self.hash = _mix(np.concatenate([h + np.uint64(4), np.arange(1, 4, dtype=np.uint64)]) * _M)
         count = np.concatenate([c, [model.ends, model.ends, 0]])
-        self.word, self.is_start, self.counts, self.n_docs = word, np.isin(np.arange(total), starts), counts, n
+        self.word, self.is_start, self.counts, self.n_docs = word, np.zeros(total, bool), counts, n
+        self.is_start[starts] = True
         self.count = count[word]
         rare = self.count < 2
-        self.symbol = np.where(rare, m + 2, word)
+        self.symbol = np.where(rare, np.int32(m + 2), word)
         self.learn = docs.column("learn").to_numpy(zero_copy_only=False)[self.doc] & ~self.is_start
         # probabilities of the token itself, and of its symbol
         self.p = np.where(self.count > 0, (1 - model.unknown) * self.count / max(model.n_all, 1), model.unknown)
@@ -334,7 +337,7 @@ class Block:
         self.p[at] = np.where(whole, (np.where(once, 0, own) + weight * self.p[at]) / below, self.p[at])
         self.q[at] = np.where(whole, (own + weight * self.q[at]) / below, self.q[at])
         # a transition is the context of the place after it; one that ends in a rare word is none
-        entry = np.full(len(self.word), -1)
+        entry = np.full(len(self.word), -1, np.int32)
         entry[at] = e
         places = np.flatnonzero(~self.is_start)
         before = entry[places - 1]
@@ -377,6 +380,8 @@ def _ask(texts: DataFrame, answers: DataFrame, model: Model, depth: int) -> Data
         for d in range(1, depth):
             block.learn_level(block.next_level(), known["by_level"].get(d, []))
         out = block.next_level().questions(rows.column("block")[0].as_py())
+        del block, known
+        release_memory()
         return _table(_QUESTION, len(out["block"]), **out)
 
     return texts.select("block", "learn", "seq").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _QUESTION)
@@ -391,18 +396,15 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
         ctx = [np.frombuffer(x, "<u8") for x in rows.column("ctx").to_pylist()]
         many = [_unsqueeze(x, "<u4").astype(np.int64) for x in rows.column("many").to_pylist()]
         total = np.concatenate([_unsqueeze(x, "<i8") for x in rows.column("total").to_pylist()])
-        sym = []
-        for x, m in zip(rows.column("sym").to_pylist(), many, strict=True):
-            low = 4 * int(m.sum())
-            sym.append(np.frombuffer(x[-low:], "<u4").astype(np.int64) | _unsqueeze(x[: -low - 1], "<u1").astype(np.int64) << 32)
+        sym = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("sym").to_pylist()]).astype(np.int64)
         n = np.concatenate([_unsqueeze(x, "<u4") for x in rows.column("n").to_pylist()]).astype(np.float64)
         lnq = np.concatenate([_unsqueeze(x, "<f2") for x in rows.column("lnq").to_pylist()]).astype(np.float64)
         distinct, first, code = np.unique(np.concatenate(ctx), return_index=True, return_inverse=True)
         total = total[first].astype(np.float64)
-        key = (np.repeat(code, np.concatenate(many)) << 40) | np.concatenate(sym)
+        key = (np.repeat(code, np.concatenate(many)) << 32) | sym
         unique, at, entry = np.unique(key, return_index=True, return_inverse=True)
         added = np.bincount(entry, n, len(unique))
-        owner = unique >> 40
+        owner = unique >> 32
         kinds = np.bincount(owner, added > 0, len(distinct))
         pieces = model.pieces(total.astype(np.int64)).astype(np.float64)
         # of a split context this piece has about its share of the successors
@@ -431,7 +433,7 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
 
 
 def _vocabularies(known: DataFrame) -> DataFrame:
-    """known: block, id, h, c, lp. A row for each block, in the schema of answers."""
+    """known: block, id, h (the word's number in the corpus), c, lp. A row for each block, in the schema of answers."""
 
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("id").to_numpy())
@@ -453,14 +455,14 @@ def score(
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
     parts = blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep)
     texts, vocabulary = materialise_halves(parts, F.col("word").isNull(), "pst-documents")
-    counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")), "pst-counts", tidy=True)
+    counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")).withColumn("w", F.monotonically_increasing_id()), "pst-counts", tidy=True)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     size = texts.agg(F.count(F.when(F.col("learn"), 1)).alias("ends"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0)).alias("n")).first()
     ends = size["ends"]
     model = Model(sums["n"] + ends, sums["v"] + (ends > 0), sums["once"], ends, size["n"], depth, divergence, transitions)
     spelled = spell(counted)
-    scored = counted.join(spelled, "word", "left").select("word", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"))
-    known = vocabulary.select("block", "word", "id").join(scored, "word").select("block", "id", F.xxhash64("word").alias("h"), "c", "lp")
+    scored = counted.join(spelled, "word", "left").select("word", "w", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"))
+    known = vocabulary.select("block", "word", "id").join(scored, "word").select("block", "id", F.col("w").alias("h"), "c", "lp")
     answers = materialise(_vocabularies(known), "pst-vocabularies", tidy=True)
     for used in (counted, spelled, vocabulary):
         discard(used)
@@ -489,7 +491,10 @@ def score(
             "doc_id": rows.column("doc_id"), "n_tokens": block.counts + 1, "n_known": total(count > 0).astype(np.int64), "train_tokens": np.full(n, model.n_all), "base_score": total(np.log10((count + 0.5) / below)),
             "score": in_class + spelling, "class_score": in_class, "root_score": total(np.log10(root[at])), "_keep": rows.column("_keep"),
         }
-        return pa.table(columns)
+        out = pa.table(columns)
+        del block, held
+        release_memory()
+        return out
 
     kept = texts.schema["_keep"].dataType
     own = texts.select("block", "doc_id", "learn", "seq", "_keep")
