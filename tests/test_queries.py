@@ -28,7 +28,8 @@ def rows(d: pd.DataFrame) -> list:
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_query(spark, duck, name):
+def test_query(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(queries, "BUCKET", 256)  # several buckets
     got = queries.QUERIES[name](spark, SF).toPandas()
     if name in queries.ORACLE_SQL:
         want = duck.sql(queries.ORACLE_SQL[name]).df()

@@ -137,3 +137,26 @@ def test_ordered_scans_equal_plain_loops(spark, bucket):
         level = max(0, level + step)
         depth[s] = level
     assert {r["seq"]: r["got"] for r in ordered_depth(df, ["seq"], F.col("step"), "got", bucket).collect()} == depth
+
+
+def test_decoding(spark):
+    """Quotes near a line's start, register pairs, lanes by their half, lanes of lists, and system calls."""
+    lines = [
+        '[a 0x1][l 0x3] [6] 0x4: "mov x3, #7" => x3=0x7',
+        '[00:00:01 000][m 0x1] [0] 0x4: "casp x0, x1, x2, x3, [x4]" => x0=0x1',
+        '[00:00:01 000][m 0x1] [0] 0x4: "umov w0, v1.s[3]"',
+        '[00:00:01 000][m 0x1] [0] 0x4: "fmov x0, v1.d[0]"',
+        '[00:00:01 000][m 0x1] [0] 0x4: "ins v2.d[1], x5"',
+        '[00:00:01 000][m 0x1] [0] 0x4: "ld1 {v0.s}[1], [x9]"',
+        '[00:00:01 000][m 0x1] [0] 0x4: "svc #0" => x0=0x1 x1=0x2',
+        '[00:00:01 000][m 0x1] [0] 0x4: "ldp x29, x30, [sp], #0x10" ; mem[READ] abs=0x10 sp=0x10 => fp=0x5 lr=0x6',
+        "[00:00:01 000][m 0x1] no instruction",
+    ]
+    got = {r["seq"]: r for r in parse(frame(spark, lines), "quoted").collect()}
+    assert sorted(got) == list(range(8))
+    sets = {k: (r["defs"], r["uses"]) for k, r in got.items()}
+    assert sets[0] == ([3], []) and sets[1] == ([0, 1], [0, 1, 2, 3, 4])
+    assert sets[2] == ([0], [34 + 33]) and sets[3] == ([0], [34])
+    assert sets[4] == ([35, 68], [35, 68, 5]) and got[5]["class"] == "simd_lane_load" and got[5]["lane_index"] == 1
+    assert sets[6] == ([0, 1], [])
+    assert (got[7]["mem"]["value"], got[7]["mem"]["value2"], sets[7][0]) == (5, 6, [29, 30, 31])

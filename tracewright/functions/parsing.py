@@ -8,13 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.isa import PAIRS, classify, def_use
-from tracewright.functions.registers import digits_of, hex_high, hex_long, masked, pairs, reg_id
+from tracewright.functions.isa import decoded
+from tracewright.functions.registers import XZR, hex_high, hex_long, masked, pairs, reg_id
 from tracewright.sources.traces import QUOTED
 
-#: The timestamp and module that open a quoted line; nothing is looked for in them.
-PREFIX = 40
-OPERAND = "struct<kind:string,reg:int,lane:int,imm:bigint>"
+#: The instruction in quotes behind the header, and the notes behind it; without a header, the first quotes of the line.
+QUOTE = r'^(?:.*?\] 0x[0-9a-fA-F]+: )?[^"]*"([^"]*)"(.*)$'
 
 
 def is_special(raw: Column) -> Column:
@@ -22,132 +21,71 @@ def is_special(raw: Column) -> Column:
     return ~raw.startswith("[")
 
 
-def immediate(text: Column) -> Column:
-    """#1, #-0x10, 0x20 as a long; null for other texts."""
-    t = F.regexp_replace(text, "^#", "")
-    negative = t.startswith("-")
-    bare = F.regexp_replace(t, "^-", "")
-    value = F.when(bare.rlike("^0x[0-9a-fA-F]{1,16}$"), hex_long(F.substring(bare, 3, 16))).when(text.startswith("#") & bare.rlike("^[0-9]{1,18}$"), bare.cast("long"))
-    return F.when(negative, -value).otherwise(value)
-
-
-def operand_tokens(text: Column) -> Column:
-    """Operands split at commas outside brackets."""
-    return F.filter(F.transform(F.split(text, r",(?![^\[]*\])"), lambda t: F.trim(t)), lambda t: t != "")
-
-
-def _one(kind: str, reg: Column | None = None, lane: Column | None = None, imm: Column | None = None) -> Column:
-    null = F.lit(None)
-    return F.struct(F.lit(kind).alias("kind"), (null if reg is None else reg).cast("int").alias("reg"), (null if lane is None else lane).cast("int").alias("lane"), (null if imm is None else imm).cast("bigint").alias("imm"))
-
-
-def operands(tokens: Column) -> Column:
-    """Registers, lanes and immediates of operand tokens; a bracket gives its base and index registers; shifts, extends
-    and conditions give nothing."""
-    empty = F.array().cast(f"array<{OPERAND}>")
-
-    def read(token: Column) -> Column:
-        t = F.regexp_replace(token, "[{}!]", "")
-        inner = F.split(F.regexp_extract(t, r"^\[([^\]]*)\]", 1), ",")
-        inside = F.filter(F.transform(inner, lambda x: reg_id(x)), lambda r: r.isNotNull())
-        lane = F.regexp_extract(t, r"^v[0-9]+\.[0-9]*[bhsd]\[([0-9]+)\]$", 1).try_cast("int")
-        return (
-            F.when(t.startswith("["), F.transform(inside, lambda r: _one("reg", r)))
-            .when(lane.isNotNull(), F.array(_one("lane", reg_id(t), lane)))
-            .when(reg_id(t).isNotNull(), F.array(_one("reg", reg_id(t))))
-            .when(immediate(t).isNotNull(), F.array(_one("imm", imm=immediate(t)))).otherwise(empty)
-        )
-
-    return F.flatten(F.transform(tokens, read))
-
-
-def element_width(mnemonic: Column, first: Column) -> Column:
-    """Bytes of one element: by the mnemonic's suffix, else by its first data register."""
-    t = F.lower(first)
-    arranged = F.regexp_extract(t, r"\.(\d*)([bhsd])(\[\d+\])?$", 2)
-    lane = F.when(arranged == "b", 1).when(arranged == "h", 2).when(arranged == "s", 4).when(arranged == "d", 8)
-    return (
-        F.when(mnemonic.rlike("^(ldrsw|ldpsw|ldursw|ldtrsw)$"), 4).when(mnemonic.rlike("^(ld|st).*r?s?b$"), 1).when(mnemonic.rlike("^(ld|st).*r?s?h$"), 2)
-        .when(t.rlike(r"\[\d+\]$"), lane).when(t.rlike(r"\.(16b|8h|4s|2d)$"), 16).when(t.rlike(r"\.(8b|4h|2s|1d)$"), 8)
-        .when(t.rlike(r"^[qv]\d"), 16).when(t.rlike(r"^[ws]\d|^wzr|^wsp"), 4).when(t.rlike(r"^b\d"), 1).when(t.rlike(r"^h\d"), 2).otherwise(8).cast("int")
-    )
-
-
 def split_line(lines: DataFrame, fmt: str, *keep: str) -> DataFrame:
     """seq, raw, columns to keep, and the parts of instruction lines: module, insn_addr, insn_offset, asm, before, after, has_arrow. asm is
     null for other lines."""
     raw = F.col("raw")
+    # each step has a select of its own, so that no pattern is matched twice
     if fmt == QUOTED:
-        tail = F.substring(raw, PREFIX + 1, 1 << 30)
-        asm = F.nullif(F.regexp_extract(tail, r'"([^"]*)"', 1), F.lit(""))
-        notes = F.regexp_extract(tail, r'"[^"]*"(.*)$', 1)
-        arrow = " => "
         module, offset = F.regexp_extract(raw, r"\]\[([^\s\]]+) 0x", 1), F.regexp_extract(raw, r"\]\[[^\]]* 0x([0-9a-fA-F]+)\]", 1)
         address = F.regexp_extract(raw, r'\] 0x([0-9a-fA-F]+): "', 1)
+        out = lines.select("seq", "raw", *keep, module.alias("module"), address.alias("_pc"), offset.alias("_offset"), F.nullif(F.regexp_extract(raw, QUOTE, 1), F.lit("")).alias("asm"), F.regexp_extract(raw, QUOTE, 2).alias("_notes"))
+        arrow = " => "
     else:
-        body = F.regexp_extract(raw, r"!0x[0-9a-fA-F]+ (.*)$", 1)
-        marked = body.contains(";")
-        cut = F.regexp_instr(body, F.lit(r" [a-z][a-z0-9_]+=0x"))
-        asm_b = F.when(marked, F.substring_index(body, ";", 1)).when(cut > 0, F.substring(body, F.lit(1), cut - 1)).otherwise(F.substring_index(body, " -> ", 1))
-        asm = F.when(raw.startswith("["), F.nullif(F.trim(asm_b), F.lit("")))
-        notes = F.when(marked, F.regexp_extract(body, ";(.*)$", 1)).when(cut > 0, F.substring(body, cut, F.lit(1 << 30))).otherwise("")
+        # [module] 0xPC!0xOFF body
+        head = F.substring_index(raw, " ", 2)
+        module = F.when(raw.startswith("["), F.substring_index(F.substring(head, 2, 1 << 30), "]", 1)).otherwise("")
+        place = F.regexp_extract(raw, r"^\[[^\]]*\] 0x([0-9a-fA-F]+)!", 1)
+        body = F.when(raw.startswith("["), F.regexp_extract(raw, r"!0x([0-9a-fA-F]+ .*)$", 1))
+        out = lines.select("seq", "raw", *keep, module.alias("module"), place.alias("_pc"), body.alias("_tail"))
+        out = out.withColumns({"_offset": F.substring_index("_tail", " ", 1), "_body": F.substring(F.col("_tail"), F.instr("_tail", " ") + 1, F.lit(1 << 30)), "_marked": F.col("_tail").contains(";")})
+        out = out.withColumn("_cut", F.when(F.col("_marked"), F.instr("_body", ";")).otherwise(F.regexp_instr("_body", F.lit(r" [a-z][a-z0-9_]+=0x"))))
+        text = F.when(F.col("_cut") > 0, F.substring(F.col("_body"), F.lit(1), F.col("_cut") - 1)).otherwise(F.substring_index("_body", " -> ", 1))
+        notes = F.when(F.col("_cut") > 0, F.substring(F.col("_body"), F.col("_cut") + F.col("_marked").cast("int"), F.lit(1 << 30))).otherwise("")
+        out = out.withColumns({"asm": F.nullif(F.trim(text), F.lit("")), "_notes": notes})
         arrow = " -> "
-        module, offset = F.regexp_extract(raw, r"^\[([^\]]*)\]", 1), F.regexp_extract(raw, r"!0x([0-9a-fA-F]+)", 1)
-        address = F.regexp_extract(raw, r"^\[[^\]]*\] 0x([0-9a-fA-F]+)!", 1)
-    out = lines.select("seq", "raw", *keep, asm.alias("asm"), notes.alias("_notes"), F.nullif(module, F.lit("")).alias("module"), hex_long(address).alias("insn_addr"), hex_long(offset).alias("insn_offset"))
     has = F.col("_notes").contains(arrow)
-    return out.withColumns({"has_arrow": has, "before": F.when(has, F.substring_index("_notes", arrow, 1)).otherwise(F.col("_notes")), "after": F.when(has, F.substring_index("_notes", arrow, -1)).otherwise("")}).drop("_notes")
+    return out.select(
+        "seq", "raw", *keep, "asm", F.nullif("module", F.lit("")).alias("module"), hex_long(F.col("_pc")).alias("insn_addr"), hex_long(F.col("_offset")).alias("insn_offset"), has.alias("has_arrow"),
+        F.when(has, F.substring_index("_notes", arrow, 1)).otherwise(F.col("_notes")).alias("before"), F.when(has, F.substring_index("_notes", arrow, -1)).otherwise("").alias("after"),
+    )
 
 
-def _value(found: Column, name: Column) -> Column:
-    """Digits of a data register as it may be named in the notes: itself, its alias, or its other width."""
-    lower = F.lower(F.regexp_replace(F.substring_index(name, ".", 1), "[{}]", ""))
-    number = F.regexp_extract(lower, r"^[a-z](\d+)$", 1)
-    alias = F.when(lower.isin("x29", "w29"), "fp").when(lower.isin("x30", "w30"), "lr")
-    other = F.when(lower.startswith("w"), F.concat(F.lit("x"), number)).when(lower.startswith("x"), F.concat(F.lit("w"), number)).when(lower.startswith("v"), F.concat(F.lit("q"), number)).when(lower.startswith("q"), F.concat(F.lit("v"), number))
-    return digits_of(found, lower, alias, other)
+def _digits(found: Column, names: Column) -> Column:
+    """Digits of the first of an array of names that pairs() has."""
+    each = F.transform(names, lambda n: F.get(F.filter(found, lambda p: p["name"] == n), F.lit(0))["digits"])
+    return F.get(F.filter(each, lambda d: d.isNotNull()), F.lit(0))
 
 
 def parse(lines: DataFrame, fmt: str) -> DataFrame:
     """Instruction lines only: seq, raw, module, insn_addr, insn_offset, asm, mnemonic, ops_text, operands, base_reg,
     writeback, lane_index, elem_width, n_data (data registers), is_pair, mem (is_write, abs, elem_width, total_width and
-    values), class, known, defs, uses, pre, post (array<struct<name, digits>>), has_arrow."""
-    p = split_line(lines, fmt).where("asm IS NOT NULL")
-    mnemonic = F.lower(F.regexp_extract("asm", r"^(\S+)", 1))
-    p = p.withColumns({"mnemonic": mnemonic, "ops_text": F.trim(F.regexp_replace("asm", r"^\S+\s*", ""))})
-    p = p.withColumn("_tokens", operand_tokens(F.col("ops_text"))).withColumns({"pre": pairs(F.col("before")), "post": pairs(F.col("after"))})
-    p = p.withColumns({
-        "operands": operands(F.col("_tokens")),
-        "base_reg": reg_id(F.substring_index(F.regexp_extract("ops_text", r"(?:^|[\s,{])\[([^\]]*)\]", 1), ",", 1)),
-        "writeback": F.col("ops_text").contains("!") | F.col("ops_text").rlike(r"\], *#"),
-        "lane_index": F.regexp_extract("ops_text", r"v[0-9]+\.[0-9]*[bhsd]\[([0-9]+)\]|\}\[([0-9]+)\]", 1).try_cast("int"),
-        "is_pair": F.col("mnemonic").rlike(PAIRS),
-    })
-    exclusive = F.col("mnemonic").rlike("^stl?xr")
-    data_at = F.when(exclusive, F.lit(1)).otherwise(F.lit(0))
-    first, second = F.get("_tokens", data_at), F.get("_tokens", data_at + 1)
-    vectors = F.col("mnemonic").rlike("^(ld|st)[1-4]r?$")
-    n_data = F.when(F.col("is_pair"), 2).when(vectors, F.size(F.filter("_tokens", lambda t: ~t.startswith("[") & ~t.startswith("#")))).otherwise(1)
-    width = element_width(F.col("mnemonic"), F.regexp_replace(first, "[{}]", ""))
-    p = p.withColumns({"elem_width": width, "n_data": n_data.cast("int"), "_first": first, "_second": second})
+    values), class, known, defs, uses, pre, post (array<struct<name, digits>>), has_arrow.
+
+    What follows from the instruction's text alone is decoded once for each text; values are read from each line."""
+    # the filter is on what is decoded: one on asm would be moved below and match all patterns again
+    p = split_line(lines, fmt).withColumn("_d", decoded(F.col("asm"))).where("_d.mnemonic IS NOT NULL")
+    p = p.withColumns({"pre": pairs(F.col("before")), "post": pairs(F.col("after"))})
     if fmt == QUOTED:
         way, abs_ = F.regexp_extract("before", r"mem\[([RW])", 1), F.regexp_extract("before", r"mem\[[^\]]*\][^=]*abs=0x([0-9a-fA-F]+)", 1)
         is_write = way == "W"
     else:
         way, abs_ = F.regexp_extract("before", r"mem_([rw])=0x", 1), F.regexp_extract("before", r"mem_[rw]=0x([0-9a-fA-F]+)", 1)
-        is_write = F.when(F.col("mnemonic").startswith("ld"), F.lit(False)).when(F.col("mnemonic").startswith("st"), F.lit(True)).otherwise(way == "w")
-    source = F.when(is_write, F.col("pre")).otherwise(F.col("post"))
-    d1, d2 = _value(source, F.col("_first")), F.when(F.col("is_pair"), _value(source, F.col("_second")))
-    narrow = F.col("elem_width") <= 8
-    mem = F.when(F.length(abs_) > 0, F.struct(
-        is_write.alias("is_write"), hex_long(abs_).alias("abs"), F.col("elem_width").alias("elem_width"), (F.col("elem_width") * F.col("n_data")).cast("int").alias("total_width"),
-        F.when(narrow, masked(hex_long(d1), F.col("elem_width"))).alias("value"), F.when(narrow, masked(hex_long(d2), F.col("elem_width"))).alias("value2"),
+        is_write = F.when(F.col("_d.mnemonic").startswith("ld"), F.lit(False)).when(F.col("_d.mnemonic").startswith("st"), F.lit(True)).otherwise(way == "w")
+    p = p.withColumns({"_abs": hex_long(abs_), "_write": is_write}).withColumn("_from", F.when(F.col("_write"), F.col("pre")).otherwise(F.col("post")))
+    touches = F.col("_abs").isNotNull()
+    p = p.withColumns({"_d1": F.when(touches, _digits(F.col("_from"), F.col("_d.names1"))), "_d2": F.when(touches & F.col("_d.is_pair"), _digits(F.col("_from"), F.col("_d.names2")))})
+    width, d1, d2 = F.col("_d.elem_width"), F.col("_d1"), F.col("_d2")
+    narrow = width <= 8
+    mem = F.when(touches, F.struct(
+        F.col("_write").alias("is_write"), F.col("_abs").alias("abs"), width.alias("elem_width"), (width * F.col("_d.n_data")).cast("int").alias("total_width"),
+        F.when(narrow, masked(hex_long(d1), width)).alias("value"), F.when(narrow, masked(hex_long(d2), width)).alias("value2"),
         F.when(~narrow, hex_long(d1)).alias("value_lo"), F.when(~narrow, hex_high(d1)).alias("value_hi"), F.when(~narrow, hex_long(d2)).alias("value2_lo"), F.when(~narrow, hex_high(d2)).alias("value2_hi"),
     ))
-    p = p.withColumn("mem", mem).withColumn("class", classify(F.col("mnemonic"), F.col("operands"), F.col("lane_index")))
-    post_regs = F.transform("post", lambda x: reg_id(x["name"]))
-    defs, uses = def_use(F.col("class"), F.col("operands"), F.col("base_reg"), F.col("writeback"), F.col("mnemonic"), F.col("ops_text"), post_regs)
-    return p.withColumns({"defs": defs, "uses": uses, "known": F.col("class").isNotNull()}).drop("_tokens", "_first", "_second", "before", "after")
+    written = F.array_distinct(F.filter(F.transform("post", lambda x: reg_id(x["name"])), lambda r: r.isNotNull() & (r != XZR)))
+    defs = F.when(F.col("_d.class") == "system_call", written).otherwise(F.col("_d.defs"))
+    plain = [F.col(f"_d.{x}") for x in ("mnemonic", "ops_text", "operands", "base_reg", "writeback", "lane_index", "elem_width", "n_data", "is_pair")]
+    return p.select("seq", "raw", "asm", "module", "insn_addr", "insn_offset", "has_arrow", *plain, "pre", "post", mem.alias("mem"), F.col("_d.class"), defs.alias("defs"), F.col("_d.uses"), F.col("_d.known"))
 
 
 def special(lines: DataFrame) -> DataFrame:

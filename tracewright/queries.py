@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from tracewright.functions.parsing import parse
 from tracewright.functions.registers import reg_name
 from tracewright.operators import calls, deps, search, slicing, state, strings
-from tracewright.plans.ordered import ordered_last
+from tracewright.plans.ordered import BUCKET, ordered_last
 from tracewright.plans.settled import settle
 
-#: Lines of a bucket: small, so that the tests' tables have several.
-BUCKET = 2048
 HEX = "lower(hex({}))"
 
 
@@ -26,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, raw: the events as lines of a BANG trace."""
+    """seq, raw: the events as lines of a BANG trace, written as a real one would be."""
     e = table(spark, sf_dir, "events").selectExpr(
         "event_id AS seq", "CAST(floor(value * 100) AS BIGINT) AS data", "user_id", "user_id % 29 AS r", "(user_id * 7 + event_id) % 29 AS r2", "4096 + 8 * user_id + event_id % 8 AS addr", "CAST(element_at(array(1, 2, 4, 8), CAST(event_id % 4 AS INT) + 1) AS INT) AS width",
         "CASE event_type WHEN 'click' THEN 'def' WHEN 'view' THEN 'use' WHEN 'purchase' THEN 'store' WHEN 'signup' THEN 'load' ELSE element_at(array('cond', 'call', 'ret'), CAST(event_id % 3 AS INT) + 1) END AS kind", "65536 + 4 * (event_id % 1000) AS pc",
@@ -40,7 +38,7 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'store' THEN concat('str', {suffix}, ' ', {name}, ', [x', r2, ', #8]; ', {name}, '=0x', {h('data')}, ' x', r2, '=0x', {h('addr - 8')}, ' mem_w=0x', {h('addr')})
         WHEN 'load' THEN concat('ldr', {suffix}, ' ', {name}, ', [x', r2, ']; x', r2, '=0x', {h('addr')}, ' mem_r=0x', {h('addr')}, ' -> ', {name}, '=0x', {h('data')})
         WHEN 'cond' THEN concat('b.eq #0x', {h('pc + 64')}) WHEN 'call' THEN concat('bl #0x', {h('pc + 4096')}) ELSE 'ret' END"""
-    return e.select("seq", F.expr(f"concat('[libdemo.so] 0x', {h('481036337152 + pc')}, '!0x', {h('pc')}, ' ', {body})").alias("raw"))
+    return settle(e.select("seq", F.expr(f"concat('[libdemo.so] 0x', {h('481036337152 + pc')}, '!0x', {h('pc')}, ' ', {body})").alias("raw")))
 
 
 _INDEX: dict[tuple[str, str], DataFrame] = {}
