@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import embeddings, gif, langid, linededup, mixing, packing, quality, simhash, suffixtree, toxicity
 from tracewright.llm.components import components
-from tracewright.llm.queries import op9_linededup, tokenizer_path
+from tracewright.llm.queries import op5_suffixtree, op9_linededup, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, offset string, label string"
 
@@ -196,37 +197,122 @@ def test_gif(docs, empty):
     assert gif.gif_frames(gif.texts_to_gif(empty)).count() == 0
 
 
-def test_suffix_tree(docs, rows, empty):
-    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    got = suffixtree.score(docs, learn).toPandas()
-    counts = collections.Counter()
-    tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    for doc, t, *_ in rows:
-        if zlib.crc32(("" if doc is None else str(doc)).encode()) % 5 != 1:
-            counts.update(tokens(t))
-    n, v = sum(counts.values()), len(counts)
-    by = {r[0]: r[1] for r in rows}
-    for r in got.itertuples():
-        own = tokens(by[None if pd.isna(r.doc_id) else r.doc_id])
-        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n) and r.score < 0
-    assert len(got) == len(rows) and suffixtree.score(empty, learn).count() == 0
-
-
-def test_suffix_tree_contexts():
-    context = suffixtree._spelled(pa.array(["abcdefghij"]))[0].tolist()
-    assert [c >> 9 * k & 511 for c in context[-1:] for k in range(7)] == [b + 1 for b in b"jihgfed"]
-
-
-def test_suffix_tree_spells_unseen_words(spark):
-    rng = random.Random(13)
-    learned = [(k, text(rng, 200)) for k in range(20)]
-    asked = {100: "the", 101: "windows", 102: "qxzvkjqxzvkj", 103: "qxzvkjqxzvkjqxzvkjqxzvkj"}
-    got = {r["doc_id"]: r for r in suffixtree.score(spark.createDataFrame([*learned, *asked.items()], "doc_id long, text string"), F.col("doc_id") < 100).collect()}
-    assert got[100]["score"] > got[101]["score"] > got[102]["score"] > got[103]["score"]  # by spelling, and by length
-    assert got[103]["score"] < 1.5 * got[102]["score"] and got[100]["unseen"] == 0
-    for k in (101, 102, 103):
-        assert got[k]["n_known"] == 1 and got[100]["score"] - got[k]["score"] > 0 and got[k]["score"] < got[k]["unseen"] < 0
+def plain_tree(texts, learn, depth=suffixtree.DEPTH):
+    """log10 of each text by the tree of tokens, unseen words as one symbol: counts in dictionaries, one token at a time."""
+    seqs = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), "</s>"] for t in texts]
+    c = collections.Counter(w for s, x in zip(seqs, learn, strict=True) if x for w in s)
+    n = sum(c.values()) - c["<s>"]
+    unknown = (sum(v == 1 for k, v in c.items() if k not in ("<s>", "</s>")) + 0.5) / (n + 1)
+    symbol = lambda w: w if c[w] >= 2 else None
+    follow = collections.defaultdict(collections.Counter)
+    for s, x in zip(seqs, learn, strict=True):
+        for i in range(1, len(s) if x else 0):
+            for d in range(1, min(depth, i) + 1):
+                if all(c[w] >= 2 for w in s[i - d : i]):
+                    follow[tuple(s[i - d : i])][symbol(s[i])] += 1
+    root = lambda w: (1 - unknown) * c[w] / n if w is not None and c[w] else unknown
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        f, below = follow[context], p(context[1:], w)
+        if sum(f.values()) < 2 or not state(context):
+            return below
+        return (f[w] + len(f) * below) / (sum(f.values()) + len(f))
+
+    known = {}
+
+    def state(context):
+        if context not in known:
+            f = follow[context]
+            t, kinds = sum(f.values()), len(f)
+            gain = 0.0
+            for w, k in f.items():
+                lnq = float(np.float16(np.log(p(context[1:], w))))
+                others = kinds - (k == 1)
+                gain += k * (math.log(max((k - 1 + others * math.exp(lnq)) / (t - 1 + others), 1e-300)) - lnq)
+            known[context] = gain >= suffixtree.DIVERGENCE
+        return known[context]
+
+    out = []
+    for s in seqs:
+        total = 0.0
+        for i in range(1, len(s)):
+            context = ()
+            while len(context) < min(depth, i) and c[s[i - len(context) - 1]] >= 2 and (not context or sum(follow[s[i - len(context) - 1], *context].values()) >= 2):
+                context = (s[i - len(context) - 1], *context)
+            # a word met once has a probability of its own, but no occurrence left to learn from
+            once = c[s[i]] == 1
+            total += math.log10(p(context, s[i] if c[s[i]] else None) if not once else plain_once(context, s[i], p, follow, state, root))
+        out.append(total)
+    return out
+
+
+def plain_once(context, w, p, follow, state, root):
+    if not context:
+        return root(w)
+    below = plain_once(context[1:], w, p, follow, state, root)
+    f = follow[context]
+    return len(f) * below / (sum(f.values()) + len(f)) if sum(f.values()) >= 2 and state(context) else below
+
+
+def plain_spelling(words_, new):
+    """log10 of the spelling of each new word by a tree over the bytes of words_."""
+    deep = suffixtree.SPELL_DEPTH
+    follow = collections.defaultdict(collections.Counter)
+    for w in words_:
+        s = ["^", *w.encode(), "$"]
+        for i in range(1, len(s)):
+            for d in range(min(deep, i) + 1):
+                follow[tuple(s[i - d : i])][s[i]] += 1
+
+    def p(context, x):
+        f = follow.get(context, {})
+        t = sum(f.values())
+        if not context:
+            return (f.get(x, 0) + 0.5) / (t + 0.5 * suffixtree.ALPHABET)
+        below = p(context[1:], x)
+        if t and sum(k * math.log(k / t / p(context[1:], y)) for y, k in f.items()) >= suffixtree.SPELL_DIVERGENCE:
+            return (f.get(x, 0) + below) / (t + 1)
+        return below
+
+    out = {}
+    for w in new:
+        s = ["^", *w.encode(), "$"]
+        out[w] = sum(math.log10(p(tuple(s[max(0, i - deep) : i]), s[i])) for i in range(1, len(s)))
+    return out
+
+
+def test_suffix_tree(spark, docs, rows, empty):
+    learn = F.col("lang").eqNullSafe("en")
+    texts, taught = [r[1] for r in rows], [r[2] == "en" for r in rows]
+    texts = [t if t is None or k % 3 else t + f" Odd{k} word{k % 5}" for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(k, t, lang, "x", 1) for k, (t, lang) in enumerate(zip(texts, ["en" if x else "de" for x in taught], strict=True))], "doc_id long, text string, lang string, block string, seq int").repartition(3)
+    want = plain_tree(texts, taught)
+    tokens = [[w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    c = collections.Counter(w for s, x in zip(tokens, taught, strict=True) if x for w in s)
+    spelled = plain_spelling(list(c), {w for s in tokens for w in s} - set(c))
+    n_all, v, ends = sum(c.values()) + sum(taught), len(c) + 1, sum(taught)
+    for size in (1 << 20, 500):  # one range, and many with contexts that are split
+        got = {r["doc_id"]: r for r in suffixtree.score(df, learn, keep=(F.col("block"),), transitions=size).collect()}
+        assert len(got) == len(texts)
+        for k, s in enumerate(tokens):
+            assert got[k]["n_tokens"] == len(s) + 1 and got[k]["n_known"] == sum(w in c for w in s) + 1 and got[k]["train_tokens"] == n_all and got[k]["block"] == "x"
+            base = sum(math.log10((c[w] + 0.5) / (n_all + 0.5 * (v + 1))) for w in s) + math.log10((ends + 0.5) / (n_all + 0.5 * (v + 1)))
+            assert got[k]["base_score"] == pytest.approx(base, rel=1e-9)
+            assert got[k]["class_score"] == pytest.approx(want[k], rel=1e-6, abs=1e-6)
+            assert got[k]["score"] == pytest.approx(want[k] + sum(spelled.get(w, 0) for w in s), rel=1e-6, abs=1e-6)
+    assert len(suffixtree.score(docs, learn).collect()) == len(rows)
+    assert suffixtree.score(empty, learn).count() == 0
+    nothing = suffixtree.score(df.limit(5), F.lit(False)).toPandas()
+    assert (nothing["n_known"] == 0).all() and np.isfinite(nothing["score"]).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_suffix_tree_beats_its_root(spark):
+    """On held-out documents, with unseen words as one symbol for both."""
+    got = op5_suffixtree(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("class_score") / F.sum("n_tokens"), F.sum("root_score") / F.sum("n_tokens")).first()
+    assert got[0] > got[1] + 0.15
 
 
 @pytest.fixture(scope="module")

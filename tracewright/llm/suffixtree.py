@@ -36,7 +36,7 @@ SPELL_DEPTH, SPELL_DIVERGENCE, SMOOTHING, ROOT_SMOOTHING = 7, 2.0, 1.0, 0.5
 START, STOP, ALPHABET = 256, 257, 257
 _BITS = 9
 #: Bytes of text of a block of documents; words of a block of words; transitions of a range of contexts, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 WORD_BLOCK, WORD_BLOCK_BYTES = 262_144, 4 << 20
 RANGE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -248,7 +248,7 @@ class Level:
         part = model.range_of(self.hash[self.owner], self.symbol, self.pieces[self.owner])
         self.order = np.argsort(part, kind="stable")
         self.parts, starts = np.unique(part[self.order], return_index=True)
-        self.slices = [self.order[a:b] for a, b in zip(starts, [*starts[1:], len(part)], strict=True)]
+        self.slices = [self.order[a:b] for a, b in zip(starts.tolist(), np.append(starts, len(part))[1:].tolist(), strict=True)]
 
     def questions(self, block_id: int) -> dict[str, list]:
         out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq")}
@@ -313,7 +313,6 @@ class Block:
         # probabilities of the token itself, and of its symbol
         self.p = np.where(self.count > 0, (1 - model.unknown) * self.count / max(model.n_all, 1), model.unknown)
         self.q = np.where(rare, model.unknown, self.p)
-        self.levels: list[Level] = []
         self._at = np.flatnonzero(~self.is_start)
         self._ids, self._hash, self._total = word[self._at - 1], self.hash, count
         self._alive = count[word[self._at - 1]] >= 2
@@ -322,9 +321,7 @@ class Block:
     def next_level(self) -> Level:
         """Contexts one token longer, of the places where the shorter one's count is two or more."""
         at = self._at[self._alive]
-        level = Level(self, self._ids[self._alive], self._hash, self._total, at, self.model)
-        self.levels.append(level)
-        return level
+        return Level(self, self._ids[self._alive], self._hash, self._total, at, self.model)
 
     def learn_level(self, level: Level, given: list[dict]) -> None:
         n, kinds, state = level.answers(given, self.model.divergence)
