@@ -88,9 +88,12 @@ def goto(text: str) -> tuple[str, int]:
 
 
 def nearest(found: DataFrame, seq: int) -> DataFrame:
-    """position, seq of the match nearest to a line; of two the earlier."""
-    numbered = found.withColumn("position", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("seq")) - 1)
-    return numbered.orderBy(F.abs(F.col("seq") - seq), "seq").limit(1).select("position", "seq")
+    """position, seq of the match nearest to a line; of two the earlier. found has a row for each match."""
+    at = F.col("seq") <= seq
+    near = found.agg(F.max(F.when(at, F.col("seq"))).alias("low"), F.count(F.when(at, 1)).alias("n"), F.min(F.when(~at, F.col("seq"))).alias("high"))
+    low = F.col("high").isNull() | (F.lit(seq) - F.col("low") <= F.col("high") - seq)
+    near = near.where("low IS NOT NULL OR high IS NOT NULL").withColumn("_low", F.coalesce(low, F.lit(False)))
+    return near.select(F.when(F.col("_low"), F.col("n") - 1).otherwise(F.col("n")).alias("position"), F.when(F.col("_low"), F.col("low")).otherwise(F.col("high")).alias("seq"))
 
 
 def lines_by_seq(lines: DataFrame, shown: DataFrame, wanted: list[int], notes: DataFrame | None = None) -> DataFrame:
@@ -109,14 +112,17 @@ def even_sample(lines: DataFrame, total: int, k: int) -> DataFrame:
     return lines.join(picks, "seq", "left_semi")
 
 
-def runs(seqs: DataFrame) -> DataFrame:
-    """first, last, n: runs of consecutive lines."""
-    island = F.col("seq") - F.row_number().over(W.partitionBy(F.floor(F.col("seq") / (1 << 20))).orderBy("seq"))
-    d = seqs.select("seq").distinct().withColumn("_i", island).withColumn("_b", F.floor(F.col("seq") / (1 << 20)))
+def runs(seqs: DataFrame, bucket: int = 1 << 20) -> DataFrame:
+    """first, last, n: runs of consecutive lines. Buckets of lines are gone through apart; only runs that touch a bucket's
+    edge, two a bucket at most, are joined in one task."""
+    d = seqs.select("seq").distinct().withColumn("_b", F.floor(F.col("seq") / bucket))
+    d = d.withColumn("_i", F.col("seq") - F.row_number().over(W.partitionBy("_b").orderBy("seq")))
     parts = d.groupBy("_b", "_i").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    touches = (F.pmod("first", F.lit(bucket)) == 0) | (F.pmod(F.col("last") + 1, F.lit(bucket)) == 0)
     order = W.partitionBy(F.lit(1)).orderBy("first")
-    parts = parts.withColumn("_g", F.sum(F.when(F.col("first") - 1 == F.lag("last").over(order), 0).otherwise(1)).over(order))
-    return parts.groupBy("_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
+    edge = parts.where(touches).withColumn("_g", F.sum(F.when(F.col("first") - 1 == F.lag("last").over(order), 0).otherwise(1)).over(order))
+    edge = edge.groupBy("_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+    return parts.where(~touches).select("first", "last").unionByName(edge).withColumn("n", F.col("last") - F.col("first") + 1)
 
 
 #: 32-bit constants by which an algorithm is known, from its public standard.
@@ -152,17 +158,26 @@ CONSTANTS: dict[str, tuple[int, ...]] = {
 
 
 def constant_scan(lines: DataFrame, constants: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
-    """seq, algorithm, magic_hex: the first constant by the table's order that a line's text holds as 0x digits.
-
-    One alternation finds candidates; only they are looked at constant by constant."""
-    table = [(name, f"0x{v:x}") for name, vs in (constants or CONSTANTS).items() for v in vs]
-    text = F.lower("raw")
-    any_ = "|".join(re.escape(h[2:]) for _, h in table)
-    hit = F.coalesce(*[F.when(text.contains(h), F.struct(F.lit(name).alias("algorithm"), F.lit(h).alias("magic_hex"))) for name, h in table])
-    return lines.where(text.rlike(f"0x({any_})")).select("seq", hit.alias("h")).select("seq", "h.algorithm", "h.magic_hex")
+    """seq, algorithm, magic_hex: the first constant by the table's order that a line's text holds as a hexadecimal number.
+
+    The number is the constant, after zeros or none, or a 64-bit one whose upper half it is; a longer number that only
+    begins with a constant's digits is none. One alternation finds all; of them the first of the table is taken."""
+    table = [(name, f"{v:x}") for name, vs in (constants or CONSTANTS).items() for v in vs]
+    first: dict[str, int] = {}
+    for k, (_, h) in enumerate(table):
+        first.setdefault(h, k)
+    whole, upper = "(?![0-9a-f])", "(?=(?:[0-9a-f]{8})?(?![0-9a-f]))"
+    any_ = "|".join(h + (upper if len(h) == 8 else whole) for h in first)
+    text, pattern = F.lower("raw"), f"(?<![0-9a-z])0x0*({any_})"
+    order = F.create_map(*[F.lit(x) for item in first.items() for x in item])
+    at = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda h: F.element_at(order, h)))
+    names, digits = F.array(*[F.lit(n) for n, _ in table]), F.array(*[F.lit(f"0x{h}") for _, h in table])
+    found = lines.where(text.rlike(pattern)).select("seq", at.alias("_at"))
+    return found.select("seq", F.get(names, F.col("_at")).alias("algorithm"), F.get(digits, F.col("_at")).alias("magic_hex"))
 
 
 def algorithms(matches: DataFrame) -> DataFrame:
+    """algorithm, first_seq, n."""
     return matches.groupBy("algorithm").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.deps import HALF1, HALF2, MAIN, SHARED, mem_bytes, mem_last_def, reg_defs, reg_last_def
 
-#: Lines before a given one that are searched for a definition.
+#: Lines before a given one that a definition-use chain searches for a definition.
 LOOK_BACK = 50_000
 #: Edges that the driver holds at once; they are fetched by ranges of lines with about so many.
 EDGES_AT_ONCE = 20_000_000
@@ -57,29 +57,30 @@ def register_number(name: str) -> int:
     raise ValueError(f"not a register: {name!r}")
 
 
-def resolve(insn: DataFrame, start: Start, external: DataFrame | None = None) -> list[tuple[int, str]]:
-    """(seq, part) of the definitions that the start means: the newest at or before its line. Every byte of a memory
-    range has its own."""
+def resolve(insn: DataFrame, start: Start, external: DataFrame | None = None, look_back: int | None = None) -> list[tuple[int, str]]:
+    """(seq, part) of the definitions that the start means: the newest at or before its line, or among look_back lines
+    before it. Every byte of a memory range has its own."""
+    oldest = 0 if look_back is None or start.line is None else max(0, start.line - 1 - look_back)
     if start.kind == "reg":
         reg = register_number(start.name)
         if start.line is None:
             got = reg_last_def(insn, external).where(F.col("reg") == reg).collect()
         else:
             seq = F.col("seq")
-            near = reg_defs(insn, external).where((F.col("reg") == reg) & seq.between(max(0, start.line - 1 - LOOK_BACK), start.line - 1))
+            near = reg_defs(insn, external).where((F.col("reg") == reg) & seq.between(oldest, start.line - 1))
             got = near.groupBy("reg").agg(F.max(F.struct("seq", "part")).alias("d")).select("d.seq", "d.part").collect()
     else:
         wanted = F.col("addr").between(start.address, start.address + start.size - 1)
         if start.line is None:
             got = mem_last_def(insn).where(wanted).collect()
         else:
-            near = mem_bytes(insn).where(wanted & F.col("is_write") & F.col("seq").between(max(0, start.line - 1 - LOOK_BACK), start.line - 1))
+            near = mem_bytes(insn).where(wanted & F.col("is_write") & F.col("seq").between(oldest, start.line - 1))
             got = near.groupBy("addr").agg(F.max(F.struct("seq", "part")).alias("d")).select("d.seq", "d.part").collect()
     return sorted({(r["seq"], r["part"]) for r in got})
 
 
-def reach(edges: DataFrame, starts: list[tuple[int, str]], data_only: bool = False, at_once: int = EDGES_AT_ONCE) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Shortest distance of each node that the starts depend on (a node is 4 * line + part), and the edges met.
+def reach(edges: DataFrame, starts: list[tuple[int, str]], data_only: bool = False, at_once: int = EDGES_AT_ONCE, keep_edges: bool = True) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Shortest distance of each node that the starts depend on (a node is 4 * line + part), and the edges met, if kept.
 
     Edges lead to earlier lines only, so all that leads to a line is known when its turn comes: the lines are gone
     through once, from the last start down, in ranges of about at_once edges. Rounds don't depend on how deep the graph
@@ -114,7 +115,8 @@ def reach(edges: DataFrame, starts: list[tuple[int, str]], data_only: bool = Fal
                 near = min(near, depth.get(node - 2, far), depth.get(node - 1, far))
             if near < far:
                 for x in d[a:b].tolist():
-                    met.append((node, x))
+                    if keep_edges:
+                        met.append((node, x))
                     if near + 1 < depth.get(x, far):
                         depth[x] = near + 1
     return depth, met
@@ -122,7 +124,7 @@ def reach(edges: DataFrame, starts: list[tuple[int, str]], data_only: bool = Fal
 
 def closure(edges: DataFrame, starts: list[tuple[int, str]], data_only: bool = False, at_once: int = EDGES_AT_ONCE) -> np.ndarray:
     """Sorted lines that the starts depend on, they included; a pair's halves and shared part are apart."""
-    depth, _ = reach(edges, starts, data_only, at_once)
+    depth, _ = reach(edges, starts, data_only, at_once, keep_edges=False)
     return np.unique(np.fromiter(depth, np.int64, len(depth)) >> 2)
 
 

@@ -110,10 +110,11 @@ def def_use_chain(defs: DataFrame, uses: DataFrame, seq: int, reg: int, look_bac
 
 def all_chains(defs: DataFrame, uses: DataFrame) -> DataFrame:
     """reg, def_seq, redefined_seq, n_uses, last_use for every definition: the chains of a whole trace in one pass."""
+    from tracewright.operators.calls import ordered_next
     from tracewright.plans.ordered import ordered_last
 
     d = defs.select("reg", "seq").distinct()
-    ends = d.withColumn("redefined_seq", F.lead("seq").over(W.partitionBy("reg").orderBy("seq")))
+    ends = ordered_next(d, ["reg"], ["seq"], F.col("seq"), "redefined_seq")
     both = uses.select("reg", "seq").distinct().select("reg", "seq", F.lit(0).alias("ord"), F.lit(None).cast("long").alias("def")).unionByName(d.select("reg", "seq", F.lit(1).alias("ord"), F.col("seq").alias("def")))
     met = ordered_last(both, ["reg"], ["seq", "ord"], F.col("def"), "def_seq").where("ord = 0 AND def_seq IS NOT NULL")
     sums = met.groupBy("reg", "def_seq").agg(F.count(F.lit(1)).alias("n_uses"), F.max("seq").alias("last_use"))

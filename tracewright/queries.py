@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.parsing import parse
 from tracewright.functions.registers import reg_name
-from tracewright.operators import calls, deps, search, slicing, state, strings
+from tracewright.operators import calls, deps, search, slicing, state, strings, views
 from tracewright.plans.ordered import BUCKET, ordered_last
 from tracewright.plans.settled import settle
 
@@ -268,18 +268,76 @@ def q_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SEARCH_PAGE = f"WITH {_E} SELECT seq FROM e WHERE kind = 'store' AND seq BETWEEN 1000 AND 9000 ORDER BY seq LIMIT 20 OFFSET 20"
 
 
+_TABLE = [(name, f"{v:x}") for name, values in search.CONSTANTS.items() for v in values]
+
+
+def constant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, raw: a line for each event with a constant of the shipped table: alone, begun by another digit, continued by
+    one digit, and as the upper half of 64 bits."""
+    digits = ", ".join(f"'{h}'" for _, h in _TABLE)
+    number = f"element_at(array({digits}), CAST(event_id % {len(_TABLE)} AS INT) + 1)"
+    shown = f"CASE event_id % 4 WHEN 0 THEN {number} WHEN 1 THEN concat('f', {number}) WHEN 2 THEN concat({number}, '0') ELSE concat({number}, 'deadbeef') END"
+    return table(spark, sf_dir, "events").selectExpr("event_id AS seq", f"concat('ldr x0, [x1]; x1=0x', {HEX.format('user_id % 64')}, ' -> x0=0x', {shown}) AS raw")
+
+
 def q_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1-K3: constants in the lines, by an own table of small ones."""
-    own = {"first": (0x1F4, 0x3E8), "second": (0x2A, 0x7D0)}
-    return search.constant_scan(trace(spark, sf_dir), own)
+    """K1-K3: constants of the shipped table in the lines."""
+    return search.constant_scan(constant_lines(spark, sf_dir))
+
+
+_FOUND = f"""c AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{name}', '{h}')" for k, (name, h) in enumerate(_TABLE))}) v(k, name, h)), one AS (SELECT h, arg_min(name, k) AS name FROM c GROUP BY h),
+found AS (SELECT event_id AS seq, one.name AS algorithm, '0x' || one.h AS magic_hex FROM events JOIN c ON c.k = event_id % {len(_TABLE)} JOIN one USING (h) WHERE event_id % 4 = 0 OR event_id % 4 = 3 AND length(one.h) = 8)"""
+SQL_CONSTANTS = f"WITH {_FOUND} SELECT * FROM found"
+
+
+def q_constants_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, K5: each constant of one family with two lines to each side."""
+    return views.constants_in_context(constant_lines(spark, sf_dir), 2, algorithm="sha").drop("raw")
+
+
+SQL_CONSTANTS_IN_CONTEXT = f"""WITH {_FOUND} SELECT found.seq AS match_seq, algorithm, magic_hex, event_id AS seq, event_id = found.seq AS is_match
+FROM found JOIN events ON event_id BETWEEN found.seq - 2 AND found.seq + 2 WHERE contains(lower(algorithm), 'sha')"""
+
+
+def q_sliced_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 2 to 41 of the slice of x5, with three lines to each side."""
+    i = instructions(spark, sf_dir)
+    total = i.agg(F.max("seq")).first()[0] + 1
+    tainted = slicing.slice_lines(spark, i, settle(deps.dependencies(i, bucket=BUCKET)), ["reg:x5@last"], data_only=True)
+    return views.sliced_page(tainted, i, total, 2, 40, 3)
+
+
+SQL_SLICED_PAGE = SQL_SLICE.replace("SELECT seq FROM z WHERE seq IS NOT NULL", "") + """, p AS (SELECT DISTINCT seq FROM z WHERE seq IS NOT NULL ORDER BY seq LIMIT 40 OFFSET 2)
+SELECT event_id AS seq, bool_or(event_id = p.seq) AS tainted FROM p JOIN events ON event_id BETWEEN p.seq - 3 AND p.seq + 3 GROUP BY event_id"""
+
+
+def q_register_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers after the line at three quarters of the trace, what it changed and read, and its address."""
+    i = instructions(spark, sf_dir)
+    at = i.agg(F.max("seq")).first()[0] * 3 // 4
+    return views.register_view(state.register_writes(i), i, at).select("name", "value", "changed", "read")
+
+
+SQL_REGISTER_VIEW = f"""WITH {_REGS}, t AS (SELECT max(seq) * 3 // 4 AS here FROM e), w AS (SELECT CASE kind WHEN 'use' THEN r2 ELSE r END AS reg, seq, CASE kind WHEN 'use' THEN data + 1 ELSE data END AS v FROM m, t WHERE kind IN ('def', 'use', 'load') AND seq <= here),
+k AS (SELECT reg, arg_max(v, seq) AS v FROM w GROUP BY reg), a AS (SELECT unnest(range(32)) AS reg UNION ALL SELECT 65)
+SELECT CASE WHEN a.reg < 29 THEN 'x' || a.reg WHEN a.reg = 29 THEN 'fp' WHEN a.reg = 30 THEN 'lr' WHEN a.reg = 31 THEN 'sp' ELSE 'nzcv' END AS name, CASE WHEN k.v IS NULL THEN '?' ELSE '0x' || lpad(lower(to_hex(k.v)), 16, '0') END AS value,
+a.reg IN (SELECT reg FROM d, t WHERE seq = here) AS changed, a.reg IN (SELECT reg FROM u, t WHERE seq = here) AS read FROM a LEFT JOIN k ON a.reg = k.reg
+UNION ALL SELECT 'pc', '0x' || lpad(lower(to_hex(481036337152 + pc)), 16, '0'), false, false FROM e, t WHERE seq = here"""
+
+
+def q_call_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call's arguments, result and number of calls."""
+    i = instructions(spark, sf_dir)
+    tree = settle(calls.call_tree(calls.call_events(i, BUCKET), i.agg(F.max("seq")).first()[0], 0, BUCKET))
+    shown = F.array_join(F.transform("args", lambda a: a.cast("string")), ",", "?")
+    return views.call_details(tree, state.register_writes(i), BUCKET).where("id > 0").select("id", "entry_seq", "exit_seq", "line_count", shown.alias("args"), "returned", "sub_calls")
 
 
-SQL_CONSTANTS = f"""WITH {_E}, t AS (SELECT seq, '[libdemo.so] 0x' || lower(to_hex(481036337152 + pc)) || '!0x' || lower(to_hex(pc)) || ' ' || CASE kind
- WHEN 'def' THEN '#0x' || lower(to_hex(data)) || ';=0x' || lower(to_hex(user_id)) WHEN 'use' THEN '=0x' || lower(to_hex(data)) || ' =0x' || lower(to_hex(data + 1))
- WHEN 'store' THEN '=0x' || lower(to_hex(data)) || ' =0x' || lower(to_hex(addr - 8)) || ' =0x' || lower(to_hex(addr)) WHEN 'load' THEN '=0x' || lower(to_hex(addr)) || ' =0x' || lower(to_hex(data))
- WHEN 'cond' THEN '#0x' || lower(to_hex(pc + 64)) WHEN 'call' THEN '#0x' || lower(to_hex(pc + 4096)) ELSE '' END AS s FROM e),
-h AS (SELECT seq, CASE WHEN contains(s, '0x1f4') THEN '0x1f4' WHEN contains(s, '0x3e8') THEN '0x3e8' WHEN contains(s, '0x2a') THEN '0x2a' WHEN contains(s, '0x7d0') THEN '0x7d0' END AS magic_hex FROM t)
-SELECT seq, CASE WHEN magic_hex IN ('0x1f4', '0x3e8') THEN 'first' ELSE 'second' END AS algorithm, magic_hex FROM h WHERE magic_hex IS NOT NULL"""
+SQL_CALL_DETAILS = SQL_CALL_TREE.replace("SELECT n.id, n.seq AS", ", tree AS (SELECT n.id, n.seq AS", 1) + """),
+w AS (SELECT CASE kind WHEN 'use' THEN r2 ELSE r END AS reg, seq, CASE kind WHEN 'use' THEN data + 1 ELSE data END AS v FROM e WHERE kind IN ('def', 'use', 'load')),
+q AS (SELECT id, entry_seq AS seq, reg FROM tree, (SELECT unnest(range(8)) AS reg)), a AS (SELECT q.id, string_agg(coalesce(CAST(w.v AS VARCHAR), '?'), ',' ORDER BY q.reg) AS args FROM q ASOF LEFT JOIN w ON q.reg = w.reg AND q.seq >= w.seq GROUP BY q.id),
+x AS (SELECT id, exit_seq AS seq, 0 AS reg FROM tree WHERE exit_seq > entry_seq), b AS (SELECT x.id, w.v AS returned FROM x ASOF LEFT JOIN w ON x.reg = w.reg AND x.seq >= w.seq)
+SELECT tree.id, entry_seq, exit_seq, exit_seq - entry_seq + 1 AS line_count, args, returned, (SELECT count(*) FROM tree s WHERE s.parent_id = tree.id) AS sub_calls FROM tree JOIN a USING (id) LEFT JOIN b USING (id)"""
 
 
 def q_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "last_definitions": q_last_definitions, "slice": q_slice, "slice_depth": q_slice_depth, "call_tree": q_call_tree, "registers_at": q_registers_at, "memory_at": q_memory_at, "history": q_history, "chains": q_chains,
     "string_xrefs": q_string_xrefs, "strings": q_strings, "islands": q_islands, "search": q_search, "search_page": q_search_page, "constants": q_constants, "functions": q_functions, "even_sample": q_even_sample,
     "hidden_runs": q_hidden_runs, "folded": q_folded, "asof": q_asof,
+    "constants_in_context": q_constants_in_context, "sliced_page": q_sliced_page, "register_view": q_register_view, "call_details": q_call_details,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -347,4 +406,5 @@ ORACLE_SQL: dict[str, str] = {
     "last_definitions": f"WITH {_BYTES} SELECT 'reg' AS what, reg AS key, max(seq) AS seq FROM d GROUP BY reg UNION ALL SELECT 'mem', byte_addr, max(seq) FROM b WHERE kind = 'store' GROUP BY byte_addr",
     "slice": SQL_SLICE, "slice_depth": SQL_SLICE_DEPTH, "call_tree": SQL_CALL_TREE, "registers_at": SQL_REGISTERS_AT, "memory_at": SQL_MEMORY_AT, "history": SQL_HISTORY, "chains": SQL_CHAINS, "string_xrefs": SQL_STRING_XREFS,
     "islands": SQL_ISLANDS, "search": SQL_SEARCH, "search_page": SQL_SEARCH_PAGE, "constants": SQL_CONSTANTS, "functions": SQL_FUNCTIONS, "even_sample": SQL_EVEN_SAMPLE, "hidden_runs": SQL_HIDDEN_RUNS, "folded": SQL_FOLDED, "asof": SQL_ASOF,
+    "constants_in_context": SQL_CONSTANTS_IN_CONTEXT, "sliced_page": SQL_SLICED_PAGE, "register_view": SQL_REGISTER_VIEW, "call_details": SQL_CALL_DETAILS,
 }
