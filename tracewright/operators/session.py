@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.parsing import parse, special
-from tracewright.operators import calls, deps, slicing
+from tracewright.operators import calls, dag, deps, slicing
 from tracewright.sources.traces import BANG, detect_format, read_lines
 
 HEAD_BYTES = 1 << 20
@@ -43,12 +43,12 @@ class Engine:
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
     def _key(self, path: str) -> tuple[str, str]:
-        """A folder by the path, and what tells whether the file is still the same: its size and the hash of its head."""
-        fs, p = self._fs(path)
-        head = self.spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("length").first()
+        """A folder by the path, and what tells whether the file is still the same: its size, when it was
+        written and the hash of its head."""
+        head = self.spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("length", "modificationTime").first()
         text = self.spark.read.option("lineSep", "\n").text(path).limit(2000)
         digest = hashlib.sha256("\n".join(r["value"] for r in text.collect())[:HEAD_BYTES].encode("utf-8", "replace")).hexdigest()
-        return hashlib.sha256(path.encode()).hexdigest(), f"{head['length']}-{digest}"
+        return hashlib.sha256(path.encode()).hexdigest(), f"{head['length']}-{head['modificationTime'].timestamp()}-{digest}"
 
     def open(self, path: str, force: bool = False) -> Session:
         """Reads or builds the index. A trace without instructions, or a quoted one without memory accesses, is refused."""
@@ -102,9 +102,40 @@ class Engine:
     def list(self) -> DataFrame:
         return self.spark.createDataFrame([(s.id, s.path, s.fmt, s.total_lines) for s in self.sessions.values()], "id string, path string, fmt string, total_lines long")
 
-    def clear_cache(self) -> None:
-        fs, p = self._fs(self.root)
+    def info(self, session_id: str | None = None) -> dict:
+        s = self.get(session_id)
+        fs, p = self._fs(s.path)
+        return {"id": s.id, "path": s.path, "fmt": s.fmt, "total_lines": s.total_lines, "bytes": fs.getContentSummary(p).getLength(), "sliced": s.slice is not None}
+
+    def _held(self, folder: str) -> dict:
+        """path, files, bytes of a folder of indexes."""
+        fs, p = self._fs(folder)
+        told = fs.getContentSummary(p) if fs.exists(p) else None
+        return {"path": folder, "files": told.getFileCount() if told else 0, "bytes": told.getLength() if told else 0}
+
+    def cache_info(self) -> dict:
+        return self._held(self.root)
+
+    def delete_cache(self, path: str) -> dict:
+        """Deletes all indexes of one file, and tells what they held."""
+        return self._drop(f"{self.root}/{hashlib.sha256(path.encode()).hexdigest()}")
+
+    def clear_cache(self) -> dict:
+        return self._drop(self.root)
+
+    def _drop(self, folder: str) -> dict:
+        held = self._held(folder)
+        fs, p = self._fs(folder)
         fs.delete(p, True)
+        return held
+
+    def slice_graph(self, data_only: bool = False, most: int = 10_000, session_id: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+        """The dependency graph of the kept slice's first start; data only if either says so."""
+        s = self.get(session_id)
+        if s.origin is None:
+            raise LookupError("no slice was made")
+        external = s.tables["special"].where("kind = 'ret'").select("seq")
+        return dag.graph(self.spark, s.tables["insn"], s.tables["deps"], s.origin["from_specs"][0], external, data_only or s.origin["data_only"], most)
 
     def run_slice(self, specs: list[str], data_only: bool = False, start_seq: int | None = None, end_seq: int | None = None, session_id: str | None = None) -> dict:
         s = self.get(session_id)
