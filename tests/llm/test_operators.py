@@ -308,6 +308,30 @@ def test_suffix_tree(spark, docs, rows, empty):
     assert (nothing["n_known"] == 0).all() and np.isfinite(nothing["score"]).all()
 
 
+def test_suffix_tree_packs_words(spark, monkeypatch):
+    """A block sends a row to each range of words, not one for each word; the ranges count as a dictionary does."""
+    rng = random.Random(21)
+    texts = [" ".join(f"W{rng.randrange(400)}\u00e9" for _ in range(60)) for _ in range(80)] + [None, " "]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(suffixtree, "BLOCK_BYTES", 4000)
+    blocks = suffixtree.blocks_of_documents(df, "doc_id", "text", F.col("doc_id") % 2 == 0, (), 3).cache()
+    sent = blocks.where("part IS NOT NULL")
+    assert 3 < sent.count() == sent.select("block", "part").distinct().count() <= 3 * blocks.select("block").distinct().count()
+    c = collections.Counter({w.lower(): 0 for t in texts for w in (t or "").split()})
+    c.update(w.lower() for t in texts[::2] for w in (t or "").split())
+    got = suffixtree.count_words(sent).collect()
+    words = {r["word"]: r for r in got if r["part"] is None}
+    assert {w: r["c"] for w, r in words.items()} == c and len({r["w"] for r in words.values()}) == len(c) == sum(r["part"] is None for r in got)
+    assert sum(r["part"] is not None for r in got) == sent.count()
+    blocks.unpersist()
+    learn = F.col("doc_id") % 2 == 0
+    one, many = ({r["doc_id"]: r for r in suffixtree.score(df, learn, word_range=size).collect()} for size in (1 << 24, 1000))
+    want = plain_tree(texts, [k % 2 == 0 for k in range(len(texts))])
+    for k in range(len(texts)):
+        assert many[k]["class_score"] == pytest.approx(want[k], rel=1e-6) and many[k]["score"] == pytest.approx(one[k]["score"], rel=1e-9)
+        assert (many[k]["n_known"], many[k]["base_score"]) == (one[k]["n_known"], pytest.approx(one[k]["base_score"], rel=1e-12))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_suffix_tree_beats_its_root(spark):
     """On held-out documents, with unseen words as one symbol for both."""

@@ -30,11 +30,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise_halves(df: DataFrame, first: Column, name: str) -> tuple[DataFrame, DataFrame]:
+def materialise_halves(df: DataFrame, first: Column, name: str, tidy: bool = False) -> tuple[DataFrame, DataFrame]:
     """As materialise(), in one pass to two tables: the rows for which first holds, and the rest. Each can be discarded."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.withColumn("_half", F.when(first, 0).otherwise(1)).write.option("compression", "zstd").partitionBy("_half").parquet(path)
+    _write(df.withColumn("_half", F.when(first, 0).otherwise(1)), path, tidy, "_half")
     halves = []
     for k in range(2):
         # a half without rows has no folder
@@ -51,17 +51,22 @@ def _folder_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def _write(df: DataFrame, path: str, tidy: bool, *folders: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_TIDY)
+    conf.set(_TIDY, str(tidy or before == "true").lower())
+    try:
+        df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
+    finally:
+        conf.set(_TIDY, before)
+
+
 def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
     tidy: the shuffle files that were needed for it go at once."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_TIDY)
-    spark.conf.set(_TIDY, str(tidy or before == "true").lower())
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_TIDY, before)
+    _write(df, path, tidy)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewright_path = path  # type: ignore[attr-defined]
     return out

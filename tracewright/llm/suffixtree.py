@@ -10,9 +10,9 @@ probability is that of the longest suffix that is a state; the root is the unigr
 Words that the learning documents lack are one symbol, whose occurrences while learning are the words met once (Good and
 Turing); its probability is shared out by a second suffix tree, over the bytes of the distinct words, that spells them.
 
-Nothing is collected or broadcast but sums. Documents are handled in blocks. A block sends what it counts of contexts to
-the ranges of a hash of the context, packed, one row for a block and range; a range adds up and answers each block in
-the order of its question. A context with so many occurrences that it would fill a range is split by the next symbol and
+Nothing is collected or broadcast but sums. Documents are handled in blocks. A block sends its words to ranges of a hash
+of the word, and what it counts of contexts to ranges of a hash of the context, packed, one row for a block and range; a
+range adds up and answers each block in the order of its question. A context with so many occurrences that it would fill a range is split by the next symbol and
 its sums are added up after. How often a context occurs is known before: its count as a transition of the level above."""
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,8 @@ DEPTH, DIVERGENCE = 2, 0.0
 SPELL_DEPTH, SPELL_DIVERGENCE, SMOOTHING, ROOT_SMOOTHING = 7, 2.0, 1.0, 0.5
 START, STOP, ALPHABET = 256, 257, 257
 _BITS = 9
-#: Bytes of text of a block of documents; words of a block of words; transitions of a range of contexts, about.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text of a block of documents, and for each range of words; words of a block of words; transitions of a range of contexts, about.
+BLOCK_BYTES, WORD_RANGE = 8 << 20, 16 << 20
 WORD_BLOCK, WORD_BLOCK_BYTES = 262_144, 4 << 20
 RANGE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -62,12 +63,32 @@ def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, a place of each, and for each place which it has."""
+    order = np.argsort(x)
+    ordered = x[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    code = np.empty(len(x), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], code
+
+
+def _packed_words(dictionary: pa.Array, cuts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The runs of words between cuts: their bytes, and their lengths in bytes."""
+    offsets = np.frombuffer(dictionary.buffers()[1], np.int64)[dictionary.offset : dictionary.offset + len(dictionary) + 1]
+    data = memoryview(dictionary.buffers()[2] or b"")
+    lengths = np.diff(offsets).astype("<u4")
+    return [_PACK.compress(data[offsets[a] : offsets[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [_squeeze(lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 # --- documents and words ----------------------------------------------------------------------------------------------
 
 
-def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Column, keep: tuple[Column, ...]) -> DataFrame:
-    """Rows of documents (block, doc_id, learn, n_words, seq: its words' numbers, and the columns of keep) and rows of words
-    (block, word, id, train: how often the block's learning documents have it)."""
+def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Column, keep: tuple[Column, ...], ranges: int) -> DataFrame:
+    """Rows of documents (block, doc_id, learn, n_words, seq: its words' numbers, and the columns of keep) and, for each range
+    of words that a block has some of, a row (block, part, words and sizes: packed, train: how often the block's learning
+    documents have each). A block numbers its words range by range."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), learn.alias("_learn"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
     kept = rows.schema["_keep"].dataType.simpleString()
 
@@ -78,19 +99,53 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
         for part in gathered(batches, "text", BLOCK_BYTES):
             w = words(part.column("text"))
             n, m = part.num_rows, len(w.dictionary)
+            of_word = (pd.util.hash_array(w.dictionary.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(ranges)).astype(np.int64) if m else np.zeros(0, np.int64)
+            order = np.argsort(of_word, kind="stable")
+            number = np.empty(m, np.int32)
+            number[order] = np.arange(m, dtype=np.int32)
+            codes = number[w.codes].astype("<i4")
             learn_row = part.column("_learn").to_numpy(zero_copy_only=False)
-            train = np.bincount(w.codes, learn_row[w.rows()].astype(np.float64), m).astype(np.int64)
-            seq = pa.array([_squeeze(w.codes[a:b].astype("<i4")) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)], pa.binary())
+            train = np.bincount(codes, learn_row[w.rows()].astype(np.float64), m).astype("<u4")
+            parts, first = np.unique(of_word[order], return_index=True)
+            cuts = np.append(first, m)
+            packed, sizes = _packed_words(w.dictionary.take(pa.array(order)).cast(pa.large_string()), cuts) if m else ([], [])
+            trains = [_squeeze(train[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            seq = pa.array([_squeeze(codes[a:b]) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)], pa.binary())
             doc = {"doc_id": part.column("doc_id"), "learn": part.column("_learn"), "n_words": pa.array(w.counts), "seq": seq, "_keep": part.column("_keep")}
-            word = {"word": w.dictionary.cast(pa.string()), "id": pa.array(np.arange(m, dtype=np.int32)), "train": pa.array(train)}
-            fields = {"block": pa.int64(), "word": pa.string(), "id": pa.int32(), "train": pa.int64(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
-            for given, size in ((doc, n), (word, m)):
+            word = {"part": pa.array(parts), "words": pa.array(packed, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "train": pa.array(trains, pa.binary())}
+            fields = {"block": pa.int64(), "part": pa.int64(), "words": pa.binary(), "sizes": pa.binary(), "train": pa.binary(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
+            for given, size in ((doc, n), (word, len(parts))):
                 if size:
                     columns = [pa.array(np.full(size, serial)) if f == "block" else given.get(f, pa.nulls(size, t)) for f, t in fields.items()]
                     yield pa.RecordBatch.from_arrays(columns, names=list(fields))
             serial += 1
 
-    return rows.mapInArrow(run, f"block long, word string, id int, train long, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
+    return rows.mapInArrow(run, f"block long, part long, words binary, sizes binary, train binary, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
+
+
+def count_words(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary: block, part, words, sizes, train. Rows of distinct words (word, w: its number, c: how often the learning
+    documents have it) and a row for each block and range (block, part, h: its words' numbers, n: their counts)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        sizes = [_unsqueeze(x, "<u4") for x in rows.column("sizes").to_pylist()]
+        data = b"".join(_unsqueeze(x, "u1").tobytes() for x in rows.column("words").to_pylist())
+        train = np.concatenate([_unsqueeze(x, "<u4") for x in rows.column("train").to_pylist()])
+        ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]), dtype=np.int64)
+        found = pa.LargeStringArray.from_buffers(len(train), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        code = found.indices.to_numpy()
+        m, n = len(found.dictionary), rows.num_rows
+        c = np.bincount(code, train.astype(np.float64), m).astype(np.int64)
+        w = (part << 32) + np.arange(m)
+        at = np.cumsum([0, *map(len, sizes)])
+        own = [code[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        fields = {"word": pa.string(), "w": pa.int64(), "c": pa.int64(), "block": pa.int64(), "part": pa.int64(), "h": pa.binary(), "n": pa.binary()}
+        told = {"word": found.dictionary.cast(pa.string()), "w": pa.array(w), "c": pa.array(c)}
+        answer = {"block": rows.column("block").combine_chunks(), "part": rows.column("part").combine_chunks(), "h": pa.array([_squeeze(w[x]) for x in own], pa.binary()), "n": pa.array([_squeeze(c[x]) for x in own], pa.binary())}
+        return pa.concat_tables([pa.table({f: given.get(f, pa.nulls(size, t)) for f, t in fields.items()}) for given, size in ((told, m), (answer, n))])
+
+    return vocabulary.select("block", "part", "words", "sizes", "train").groupBy("part").applyInArrow(run, "word string, w long, c long, block long, part long, h binary, n binary")
 
 
 # --- spelling ---------------------------------------------------------------------------------------------------------
@@ -118,15 +173,15 @@ def _spelled(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def blocks_of_words(counted: DataFrame) -> DataFrame:
-    """counted: word, c. Rows of transitions (block, context, symbol, id, n: distinct words learned from that make it, asked:
-    words to be spelled do), and for words that were not learned from (c = 0) rows (block, word, ids: the numbers of its
+    """counted: word, w, c. Rows of transitions (block, context, symbol, id, n: distinct words learned from that make it, asked:
+    words to be spelled do), and for words that were not learned from (c = 0) rows (block, w, ids: the numbers of its
     transitions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         serial = TaskContext.get().partitionId() << 32
-        names = ["block", "word", "ids", "context", "symbol", "id", "n", "asked"]
+        names = ["block", "w", "ids", "context", "symbol", "id", "n", "asked"]
         for batch in gathered(batches, "word", WORD_BLOCK_BYTES):
             for a in range(0, batch.num_rows, WORD_BLOCK):
                 part = batch.slice(a, WORD_BLOCK)
@@ -146,11 +201,11 @@ def blocks_of_words(counted: DataFrame) -> DataFrame:
                 ids = pa.array([code[offsets[k] : offsets[k + 1]].tobytes() for k in at], pa.binary())
                 n = len(at)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, serial)), part.column("word").take(pa.array(at)), ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, serial)), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(kinds), pa.array(asked)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, serial)), part.column("w").take(pa.array(at)), ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, serial)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(kinds), pa.array(asked)], names=names)
                 serial += 1
 
-    return counted.mapInArrow(run, "block long, word string, ids binary, context long, symbol int, id int, n long, asked boolean")
+    return counted.mapInArrow(run, "block long, w long, ids binary, context long, symbol int, id int, n long, asked boolean")
 
 
 def spelling_tree(transitions: DataFrame) -> DataFrame:
@@ -185,9 +240,9 @@ def spelling_tree(transitions: DataFrame) -> DataFrame:
 
 
 def spell(counted: DataFrame) -> DataFrame:
-    """counted: word, c. word, lp (log10 of the probability of its spelling) of the words with c = 0."""
+    """counted: word, w, c. w, lp (log10 of the probability of its spelling) of the words with c = 0."""
     blocks = materialise(blocks_of_words(counted), "pst-words", tidy=True)
-    transitions = blocks.where("word IS NULL")
+    transitions = blocks.where("w IS NULL")
     states = spelling_tree(transitions.select("context", "symbol", "n"))
     back = transitions.where("asked").select("block", "context", "symbol", "id").join(states, ["context", "symbol"]).select(F.col("block").alias("_block"), "id", F.log10("p").alias("lp"))
 
@@ -197,9 +252,9 @@ def spell(counted: DataFrame) -> DataFrame:
         lp = np.zeros(int(flat.max(initial=-1)) + 1)
         at = known.column("id").to_numpy()
         lp[at] = known.column("lp").to_numpy()
-        return pa.table({"word": spelt.column("word"), "lp": np.bincount(owner, lp[flat], spelt.num_rows)})
+        return pa.table({"w": spelt.column("w"), "lp": np.bincount(owner, lp[flat], spelt.num_rows)})
 
-    out = materialise(blocks.where("word IS NOT NULL").select("block", "word", "ids").groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, "word string, lp double"), "pst-spelled", tidy=True)
+    out = materialise(blocks.where("w IS NOT NULL").select("block", "w", "ids").groupBy("block").cogroup(back.groupBy("_block")).applyInArrow(give, "w long, lp double"), "pst-spelled", tidy=True)
     discard(blocks)
     discard(states)
     return out
@@ -231,11 +286,22 @@ class Level:
 
     def __init__(self, block: Block, context: np.ndarray, hashes: np.ndarray, total: np.ndarray, at: np.ndarray, model: Model):
         """context: numbers of contexts (of the places at) into hashes and total."""
-        size = np.int64(len(block.hash))
-        unique, first, of_place = np.unique(context.astype(np.int64) * size + block.symbol[at], return_index=True, return_inverse=True)
-        self.of_place = of_place.astype(np.int32)
+        shift, places = len(block.hash).bit_length(), len(at).bit_length()
+        key = context.astype(np.int64) << shift | block.symbol[at]
+        if len(hashes).bit_length() + shift + places < 64:  # with its place in its lowest bits, a number is sorted by itself
+            key = key << places | np.arange(len(at))
+            key.sort()
+            first, key = key & ((1 << places) - 1), key >> places
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = key[1:] != key[:-1]
+            self.of_place = np.empty(len(key), np.int32)
+            self.of_place[first] = np.cumsum(fresh, dtype=np.int32) - 1
+            unique, first = key[fresh], first[fresh]
+        else:
+            unique, first, of_place = _distinct(key)
+            self.of_place = of_place.astype(np.int32)
         self.at = at
-        owner, symbol = unique // size, unique % size
+        owner, symbol = unique >> shift, unique & ((1 << shift) - 1)
         self.head = np.ones(len(unique), bool)  # the first transition of each context
         self.head[1:] = owner[1:] != owner[:-1]
         self.owner = np.cumsum(self.head) - 1
@@ -246,9 +312,14 @@ class Level:
         self.n = np.bincount(self.of_place, block.learn[at].astype(np.float64), len(unique)).astype(np.int64)
         self.q = block.q[at[first]]
         part = model.range_of(self.hash[self.owner], self.symbol, self.pieces[self.owner])
-        self.order = np.argsort(part, kind="stable")
-        self.parts, starts = np.unique(part[self.order], return_index=True)
-        self.slices = [self.order[a:b] for a, b in zip(starts.tolist(), np.append(starts, len(part))[1:].tolist(), strict=True)]
+        if model.ranges <= 1 << 16:
+            part = part.astype(np.uint16)  # sorted by digits
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.diff(part, prepend=part[:1]) != 0)
+        starts = np.concatenate([np.zeros(min(1, len(part)), np.int64), starts])
+        self.parts = part[starts].astype(np.int64)
+        self.slices = [order[a:b] for a, b in zip(starts.tolist(), np.append(starts, len(part))[1:].tolist(), strict=True)]
 
     def questions(self, block_id: int) -> dict[str, list]:
         out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq")}
@@ -289,8 +360,8 @@ class Block:
     """Places: for each document its start, its words and its end. symbol and word: numbers into hash; the last three are the
     start, the end, and words met once or never, which are one symbol."""
 
-    def __init__(self, docs: pa.Table, vocabulary: dict, model: Model):
-        h, c = _unsqueeze(vocabulary["h"], "<u8") if vocabulary else np.zeros(0, np.uint64), _unsqueeze(vocabulary["c"], "<i8") if vocabulary else np.zeros(0, np.int64)
+    def __init__(self, docs: pa.Table, vocabulary: list[dict], model: Model):
+        h, c = _joined(vocabulary, "h", "<u8"), _joined(vocabulary, "c", "<i8")
         m, n = len(h), docs.num_rows
         seqs = [_unsqueeze(x, "<i4") for x in docs.column("seq").to_pylist()]
         counts = np.array([len(x) for x in seqs], np.int64)
@@ -353,20 +424,20 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary
 def _table(schema: str, size: int, **given) -> pa.Table:
     """Columns that are given, the others null."""
     fields = [x.split() for x in schema.split(", ")]
-    return pa.table({f: pa.array(given[f], _TYPES[t]) if f in given else pa.nulls(size, _TYPES[t]) for f, t in fields})
+    return pa.table({f: given[f] if isinstance(given.get(f), pa.Array) else pa.array(given[f], _TYPES[t]) if f in given else pa.nulls(size, _TYPES[t]) for f, t in fields})
+
+
+def _joined(vocabulary: list[dict], column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unsqueeze(r[column], kind) for r in vocabulary)])
 
 
 def _block_of(rows: pa.Table, given: pa.Table, model: Model) -> tuple[Block, dict]:
-    """The block with all levels for which answers are given."""
-    vocabulary: dict = {}
-    by_level: dict[int, list[dict]] = {}
+    """The block, its words' rows in the order of their ranges, and the answers by level."""
+    by_level: dict[int | None, list[dict]] = {}
     for r in given.to_pylist():
-        if r["level"] is None:
-            vocabulary = r
-        else:
-            by_level.setdefault(r["level"], []).append(r)
-    block = Block(rows, vocabulary, model)
-    return block, vocabulary | {"by_level": by_level}
+        by_level.setdefault(r["level"], []).append(r)
+    vocabulary = sorted(by_level.pop(None, []), key=lambda r: r["part"])
+    return Block(rows, vocabulary, model), {"words": vocabulary, "by_level": by_level}
 
 
 def _ask(texts: DataFrame, answers: DataFrame, model: Model, depth: int) -> DataFrame:
@@ -396,10 +467,10 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
         sym = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("sym").to_pylist()]).astype(np.int64)
         n = np.concatenate([_unsqueeze(x, "<u4") for x in rows.column("n").to_pylist()]).astype(np.float64)
         lnq = np.concatenate([_unsqueeze(x, "<f2") for x in rows.column("lnq").to_pylist()]).astype(np.float64)
-        distinct, first, code = np.unique(np.concatenate(ctx), return_index=True, return_inverse=True)
+        distinct, first, code = _distinct(np.concatenate(ctx))
         total = total[first].astype(np.float64)
         key = (np.repeat(code, np.concatenate(many)) << 32) | sym
-        unique, at, entry = np.unique(key, return_index=True, return_inverse=True)
+        unique, at, entry = _distinct(key)
         added = np.bincount(entry, n, len(unique))
         owner = unique >> 32
         kinds = np.bincount(owner, added > 0, len(distinct))
@@ -429,20 +500,25 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
     return questions.groupBy("part").applyInArrow(run, _ANSWER)
 
 
-def _vocabularies(known: DataFrame) -> DataFrame:
-    """known: block, id, h (the word's number in the corpus), c, lp. A row for each block, in the schema of answers."""
+def _vocabularies(known: DataFrame, spelled: DataFrame) -> DataFrame:
+    """known: block, part, h (the words' numbers in the corpus), n (their counts); spelled: w, lp. The rows of known with the
+    spelling of each word that has one, in the schema of answers."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("id").to_numpy())
-        column = lambda x, kind: [_squeeze(rows.column(x).to_numpy()[order].astype(kind))]
-        return _table(_ANSWER, 1, block=[rows.column("block")[0].as_py()], h=column("h", "<i8"), c=column("c", "<i8"), lp=column("lp", "<f8"))
+    def run(rows: pa.Table, spelt: pa.Table) -> pa.Table:
+        number = lambda w: w & 0xFFFFFFFF
+        at = number(spelt.column("w").to_numpy())
+        h = [number(_unsqueeze(x, "<i8")) for x in rows.column("h").to_pylist()]
+        lp = np.zeros(1 + max([at.max(initial=0), *(x.max(initial=0) for x in h)]))
+        lp[at] = spelt.column("lp").to_numpy()
+        column = lambda x: rows.column(x).combine_chunks()
+        return _table(_ANSWER, rows.num_rows, block=column("block"), part=column("part"), h=column("h"), c=column("n"), lp=[_squeeze(lp[x]) for x in h])
 
-    return known.groupBy("block").applyInArrow(run, _ANSWER)
+    return known.groupBy("part").cogroup(spelled.select(F.shiftright("w", 32).alias("_part"), "w", "lp").groupBy("_part")).applyInArrow(run, _ANSWER)
 
 
 def score(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (),
-    depth: int = DEPTH, divergence: float = DIVERGENCE, transitions: int = RANGE,
+    depth: int = DEPTH, divergence: float = DIVERGENCE, transitions: int = RANGE, word_range: int = WORD_RANGE,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (log10 of the unigram model), score (log10 of the tree's), class_score
     and root_score (the tree's, and its root's, with words that the learning documents lack as one symbol, not spelled),
@@ -450,18 +526,18 @@ def score(
 
     Tokens are words in lower case (A-Z) and one end. A null text is the empty one, whose only token is its end; repeated
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
-    parts = blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep)
-    texts, vocabulary = materialise_halves(parts, F.col("word").isNull(), "pst-documents")
-    counted = materialise(vocabulary.groupBy("word").agg(F.sum("train").alias("c")).withColumn("w", F.monotonically_increasing_id()), "pst-counts", tidy=True)
+    total = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string"))).alias("n")).first()["n"] or 0
+    parts = blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep, max(1, -(-total // word_range)))
+    texts, vocabulary = materialise_halves(parts, F.col("part").isNull(), "pst-documents")
+    counted, known = materialise_halves(count_words(vocabulary), F.col("part").isNull(), "pst-counts", tidy=True)
+    discard(vocabulary)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     size = texts.agg(F.count(F.when(F.col("learn"), 1)).alias("ends"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0)).alias("n")).first()
     ends = size["ends"]
     model = Model(sums["n"] + ends, sums["v"] + (ends > 0), sums["once"], ends, size["n"], depth, divergence, transitions)
-    spelled = spell(counted)
-    scored = counted.join(spelled, "word", "left").select("word", "w", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"))
-    known = vocabulary.select("block", "word", "id").join(scored, "word").select("block", "id", F.col("w").alias("h"), "c", "lp")
-    answers = materialise(_vocabularies(known), "pst-vocabularies", tidy=True)
-    for used in (counted, spelled, vocabulary):
+    spelled = spell(counted.select("word", "w", "c"))
+    answers = materialise(_vocabularies(known.select("block", "part", "h", "n"), spelled), "pst-vocabularies", tidy=True)
+    for used in (counted, spelled, known):
         discard(used)
     for d in range(1, depth + 1):
         got = materialise(_add_up(_ask(texts, answers, model, d), model, d), "pst-answers", tidy=True)
@@ -477,7 +553,7 @@ def score(
         root = block.p.copy()
         for d in range(1, depth + 1):
             block.learn_level(block.next_level(), held["by_level"].get(d, []))
-        lp = np.append(_unsqueeze(held["lp"], "<f8") if "lp" in held else np.zeros(0), [0.0, 0.0])
+        lp = np.append(_joined(held["words"], "lp", "<f8"), [0.0, 0.0])
         at = ~block.is_start
         doc, n = block.doc[at], block.n_docs
         total = lambda x: np.bincount(doc, x, n)
