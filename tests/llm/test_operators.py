@@ -319,7 +319,7 @@ def test_suffix_tree_packs_words(spark, monkeypatch):
     assert 3 < sent.count() == sent.select("block", "part").distinct().count() <= 3 * blocks.select("block").distinct().count()
     c = collections.Counter({w.lower(): 0 for t in texts for w in (t or "").split()})
     c.update(w.lower() for t in texts[::2] for w in (t or "").split())
-    got = suffixtree.count_words(sent).collect()
+    got = suffixtree.count_words(sent, 3).collect()
     words = {r["word"]: r for r in got if r["part"] is None}
     assert {w: r["c"] for w, r in words.items()} == c and len({r["w"] for r in words.values()}) == len(c) == sum(r["part"] is None for r in got)
     assert sum(r["part"] is not None for r in got) == sent.count()

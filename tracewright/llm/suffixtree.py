@@ -88,7 +88,7 @@ def _packed_words(dictionary: pa.Array, cuts: np.ndarray) -> tuple[list[bytes],
 def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Column, keep: tuple[Column, ...], ranges: int) -> DataFrame:
     """Rows of documents (block, doc_id, learn, n_words, seq: its words' numbers, and the columns of keep) and, for each range
     of words that a block has some of, a row (block, part, words and sizes: packed, train: how often the block's learning
-    documents have each). A block numbers its words range by range."""
+    documents have each, ids: steps between their numbers in the block)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), learn.alias("_learn"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
     kept = rows.schema["_keep"].dataType.simpleString()
 
@@ -101,31 +101,30 @@ def blocks_of_documents(docs: DataFrame, id_col: str, text_col: str, learn: Colu
             n, m = part.num_rows, len(w.dictionary)
             of_word = (pd.util.hash_array(w.dictionary.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(ranges)).astype(np.int64) if m else np.zeros(0, np.int64)
             order = np.argsort(of_word, kind="stable")
-            number = np.empty(m, np.int32)
-            number[order] = np.arange(m, dtype=np.int32)
-            codes = number[w.codes].astype("<i4")
             learn_row = part.column("_learn").to_numpy(zero_copy_only=False)
-            train = np.bincount(codes, learn_row[w.rows()].astype(np.float64), m).astype("<u4")
+            train = np.bincount(w.codes, learn_row[w.rows()].astype(np.float64), m).astype("<u4")[order]
             parts, first = np.unique(of_word[order], return_index=True)
             cuts = np.append(first, m)
             packed, sizes = _packed_words(w.dictionary.take(pa.array(order)).cast(pa.large_string()), cuts) if m else ([], [])
-            trains = [_squeeze(train[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            seq = pa.array([_squeeze(codes[a:b]) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)], pa.binary())
+            runs = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            trains, ids = [_squeeze(train[x]) for x in runs], [_squeeze(np.diff(order[x], prepend=0).astype("<u4")) for x in runs]
+            seq = pa.array([_squeeze(w.codes[a:b].astype("<i4")) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)], pa.binary())
             doc = {"doc_id": part.column("doc_id"), "learn": part.column("_learn"), "n_words": pa.array(w.counts), "seq": seq, "_keep": part.column("_keep")}
-            word = {"part": pa.array(parts), "words": pa.array(packed, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "train": pa.array(trains, pa.binary())}
-            fields = {"block": pa.int64(), "part": pa.int64(), "words": pa.binary(), "sizes": pa.binary(), "train": pa.binary(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
+            word = {"part": pa.array(parts), "words": pa.array(packed, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "train": pa.array(trains, pa.binary()), "ids": pa.array(ids, pa.binary())}
+            fields = {"block": pa.int64(), "part": pa.int64(), "words": pa.binary(), "sizes": pa.binary(), "train": pa.binary(), "ids": pa.binary(), "doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "seq": pa.binary(), "_keep": part.column("_keep").type}
             for given, size in ((doc, n), (word, len(parts))):
                 if size:
                     columns = [pa.array(np.full(size, serial)) if f == "block" else given.get(f, pa.nulls(size, t)) for f, t in fields.items()]
                     yield pa.RecordBatch.from_arrays(columns, names=list(fields))
             serial += 1
 
-    return rows.mapInArrow(run, f"block long, part long, words binary, sizes binary, train binary, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
+    return rows.mapInArrow(run, f"block long, part long, words binary, sizes binary, train binary, ids binary, doc_id long, learn boolean, n_words long, seq binary, _keep {kept}")
 
 
-def count_words(vocabulary: DataFrame) -> DataFrame:
-    """vocabulary: block, part, words, sizes, train. Rows of distinct words (word, w: its number, c: how often the learning
-    documents have it) and a row for each block and range (block, part, h: its words' numbers, n: their counts)."""
+def count_words(vocabulary: DataFrame, ranges: int) -> DataFrame:
+    """vocabulary: block, part, words, sizes, train, ids. Rows of distinct words (word, w: its number, by whose remainder its
+    range is known, c: how often the learning documents have it) and a row for each block and range (block, part, ids, h:
+    its words' numbers, n: their counts)."""
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
@@ -137,15 +136,15 @@ def count_words(vocabulary: DataFrame) -> DataFrame:
         code = found.indices.to_numpy()
         m, n = len(found.dictionary), rows.num_rows
         c = np.bincount(code, train.astype(np.float64), m).astype(np.int64)
-        w = (part << 32) + np.arange(m)
+        w = part + np.arange(m) * ranges
         at = np.cumsum([0, *map(len, sizes)])
         own = [code[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        fields = {"word": pa.string(), "w": pa.int64(), "c": pa.int64(), "block": pa.int64(), "part": pa.int64(), "h": pa.binary(), "n": pa.binary()}
+        fields = {"word": pa.string(), "w": pa.int64(), "c": pa.int64(), "block": pa.int64(), "part": pa.int64(), "ids": pa.binary(), "h": pa.binary(), "n": pa.binary()}
         told = {"word": found.dictionary.cast(pa.string()), "w": pa.array(w), "c": pa.array(c)}
-        answer = {"block": rows.column("block").combine_chunks(), "part": rows.column("part").combine_chunks(), "h": pa.array([_squeeze(w[x]) for x in own], pa.binary()), "n": pa.array([_squeeze(c[x]) for x in own], pa.binary())}
+        answer = {x: rows.column(x).combine_chunks() for x in ("block", "part", "ids")} | {"h": pa.array([_squeeze(w[x]) for x in own], pa.binary()), "n": pa.array([_squeeze(c[x]) for x in own], pa.binary())}
         return pa.concat_tables([pa.table({f: given.get(f, pa.nulls(size, t)) for f, t in fields.items()}) for given, size in ((told, m), (answer, n))])
 
-    return vocabulary.select("block", "part", "words", "sizes", "train").groupBy("part").applyInArrow(run, "word string, w long, c long, block long, part long, h binary, n binary")
+    return vocabulary.select("block", "part", "words", "sizes", "train", "ids").groupBy("part").applyInArrow(run, "word string, w long, c long, block long, part long, ids binary, h binary, n binary")
 
 
 # --- spelling ---------------------------------------------------------------------------------------------------------
@@ -282,7 +281,7 @@ class Model:
 
 
 class Level:
-    """The distinct transitions of a block at one length of contexts, sorted by context and symbol."""
+    """The distinct transitions of a block at one length of contexts, sorted by context and symbol. first: a place of each."""
 
     def __init__(self, block: Block, context: np.ndarray, hashes: np.ndarray, total: np.ndarray, at: np.ndarray, model: Model):
         """context: numbers of contexts (of the places at) into hashes and total."""
@@ -308,9 +307,8 @@ class Level:
         ids = owner[self.head]
         self.hash, self.total = hashes[ids], total[ids]
         self.pieces = model.pieces(self.total)
-        self.symbol = block.hash[symbol]
-        self.n = np.bincount(self.of_place, block.learn[at].astype(np.float64), len(unique)).astype(np.int64)
-        self.q = block.q[at[first]]
+        self.symbol, self.number = block.hash[symbol], block.number[symbol]
+        self.first, self.block = first, block
         part = model.range_of(self.hash[self.owner], self.symbol, self.pieces[self.owner])
         if model.ranges <= 1 << 16:
             part = part.astype(np.uint16)  # sorted by digits
@@ -323,13 +321,15 @@ class Level:
 
     def questions(self, block_id: int) -> dict[str, list]:
         out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq")}
+        taught = self.of_place[self.block.learn[self.at]]
+        n, lnq = np.bincount(taught, minlength=len(self.owner)).astype("<u4"), np.log(self.block.q[self.at[self.first]]).astype("<f2")
         for part, own in zip(self.parts.tolist(), self.slices, strict=True):
             owner = self.owner[own]
             head = np.ones(len(own), bool)
             head[1:] = owner[1:] != owner[:-1]
             c = owner[head]
             many = np.diff(np.append(np.flatnonzero(head), len(own)))
-            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), (self.symbol[own] >> np.uint64(32)).astype("<u4").tobytes(), _squeeze(self.n[own].astype("<u4")), _squeeze(np.log(self.q[own]).astype("<f2")))
+            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze(self.number[own]), _squeeze(n[own]), _squeeze(lnq[own]))
             for x, y in zip(out, row, strict=True):
                 out[x].append(y)
         return out
@@ -339,7 +339,8 @@ class Level:
         n = np.zeros(len(self.owner))
         kinds, state = np.zeros(len(self.hash)), np.zeros(len(self.hash), bool)
         place = {p: k for k, p in enumerate(self.parts.tolist())}
-        hot = {h: k for k, h in enumerate(self.hash.view(np.int64).tolist()) if self.pieces[k] > 1} if (self.pieces > 1).any() else {}
+        split = np.flatnonzero(self.pieces > 1)
+        hot = dict(zip(self.hash[split].view(np.int64).tolist(), split.tolist(), strict=True))
         for r in given:
             if r["part"] is not None:
                 own = self.slices[place[r["part"]]]
@@ -349,8 +350,9 @@ class Level:
                 head[1:] = owner[1:] != owner[:-1]
                 c = owner[head]
                 whole = self.pieces[c] == 1
-                kinds[c[whole]] = _unsqueeze(r["kinds"], "<u4")[whole]
-                state[c[whole]] = _unsqueeze(r["state"], "?")[whole]
+                c = c[whole]
+                kinds[c] = _unsqueeze(r["kinds"], "<u4")[whole]
+                state[c] = _unsqueeze(r["state"], "?")[whole]
             else:
                 kinds[hot[r["hot"]]], state[hot[r["hot"]]] = r["kinds_sum"], r["gain_sum"] >= divergence
         return n, kinds[self.owner], state[self.owner]
@@ -373,7 +375,8 @@ class Block:
         is_word[starts] = is_word[starts + counts + 1] = False
         word[is_word] = np.concatenate([np.zeros(0, np.int32), *seqs])
         word[starts], word[starts + counts + 1] = m, m + 1
-        self.hash = _mix(np.concatenate([h + np.uint64(4), np.arange(1, 4, dtype=np.uint64)]) * _M)
+        number = np.concatenate([h + np.uint64(4), np.arange(1, 4, dtype=np.uint64)])
+        self.number, self.hash = number.astype("<u4"), _mix(number * _M)
         count = np.concatenate([c, [model.ends, model.ends, 0]])
         self.word, self.is_start, self.counts, self.n_docs = word, np.zeros(total, bool), counts, n
         self.is_start[starts] = True
@@ -394,16 +397,18 @@ class Block:
         at = self._at[self._alive]
         return Level(self, self._ids[self._alive], self._hash, self._total, at, self.model)
 
-    def learn_level(self, level: Level, given: list[dict]) -> None:
+    def learn_level(self, level: Level, given: list[dict], last: bool = False) -> None:
+        """Takes up the answers; after the last level no other can be asked for."""
         n, kinds, state = level.answers(given, self.model.divergence)
-        t = level.total[level.owner]
-        e = level.of_place
-        at = level.at
-        own, weight, whole = n[e], kinds[e], state[e]
-        below = t[e] + weight
-        once = self.count[at] == 1
-        self.p[at] = np.where(whole, (np.where(once, 0, own) + weight * self.p[at]) / below, self.p[at])
-        self.q[at] = np.where(whole, (own + weight * self.q[at]) / below, self.q[at])
+        below = level.total[level.owner] + kinds
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share, rest = np.where(state, n / below, 0.0), np.where(state, kinds / below, 1.0)
+        e, at = level.of_place, level.at
+        own, rest = share[e], rest[e]
+        self.p[at] = np.where(self.count[at] == 1, 0.0, own) + rest * self.p[at]
+        self.q[at] = own + rest * self.q[at]
+        if last:
+            return
         # a transition is the context of the place after it; one that ends in a rare word is none
         entry = np.full(len(self.word), -1, np.int32)
         entry[at] = e
@@ -417,7 +422,7 @@ class Block:
 
 
 _QUESTION = "block long, part long, ctx binary, many binary, total binary, sym binary, n binary, lnq binary"
-_ANSWER = "block long, part long, level int, n binary, kinds binary, state binary, hot long, kinds_sum double, gain_sum double, h binary, c binary, lp binary"
+_ANSWER = "block long, part long, level int, n binary, kinds binary, state binary, hot long, kinds_sum double, gain_sum double, ids binary, h binary, c binary, lp binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -428,15 +433,21 @@ def _table(schema: str, size: int, **given) -> pa.Table:
 
 
 def _joined(vocabulary: list[dict], column: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(_unsqueeze(r[column], kind) for r in vocabulary)])
+    """A column of a block's words, by their numbers in the block."""
+    out = np.zeros(sum(len(r["at"]) for r in vocabulary), kind)
+    for r in vocabulary:
+        out[r["at"]] = _unsqueeze(r[column], kind)
+    return out
 
 
 def _block_of(rows: pa.Table, given: pa.Table, model: Model) -> tuple[Block, dict]:
-    """The block, its words' rows in the order of their ranges, and the answers by level."""
+    """The block, its words' rows, and the answers by level."""
     by_level: dict[int | None, list[dict]] = {}
     for r in given.to_pylist():
         by_level.setdefault(r["level"], []).append(r)
-    vocabulary = sorted(by_level.pop(None, []), key=lambda r: r["part"])
+    vocabulary = by_level.pop(None, [])
+    for r in vocabulary:
+        r["at"] = np.cumsum(_unsqueeze(r["ids"], "<u4"), dtype=np.int64)
     return Block(rows, vocabulary, model), {"words": vocabulary, "by_level": by_level}
 
 
@@ -464,7 +475,7 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
         ctx = [np.frombuffer(x, "<u8") for x in rows.column("ctx").to_pylist()]
         many = [_unsqueeze(x, "<u4").astype(np.int64) for x in rows.column("many").to_pylist()]
         total = np.concatenate([_unsqueeze(x, "<i8") for x in rows.column("total").to_pylist()])
-        sym = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("sym").to_pylist()]).astype(np.int64)
+        sym = np.concatenate([_unsqueeze(x, "<u4") for x in rows.column("sym").to_pylist()]).astype(np.int64)
         n = np.concatenate([_unsqueeze(x, "<u4") for x in rows.column("n").to_pylist()]).astype(np.float64)
         lnq = np.concatenate([_unsqueeze(x, "<f2") for x in rows.column("lnq").to_pylist()]).astype(np.float64)
         distinct, first, code = _distinct(np.concatenate(ctx))
@@ -500,20 +511,19 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
     return questions.groupBy("part").applyInArrow(run, _ANSWER)
 
 
-def _vocabularies(known: DataFrame, spelled: DataFrame) -> DataFrame:
-    """known: block, part, h (the words' numbers in the corpus), n (their counts); spelled: w, lp. The rows of known with the
+def _vocabularies(known: DataFrame, spelled: DataFrame, ranges: int) -> DataFrame:
+    """known: block, part, ids, h (the words' numbers in the corpus), n (their counts); spelled: w, lp. The rows of known with the
     spelling of each word that has one, in the schema of answers."""
 
     def run(rows: pa.Table, spelt: pa.Table) -> pa.Table:
-        number = lambda w: w & 0xFFFFFFFF
-        at = number(spelt.column("w").to_numpy())
-        h = [number(_unsqueeze(x, "<i8")) for x in rows.column("h").to_pylist()]
+        at = spelt.column("w").to_numpy() // ranges
+        h = [_unsqueeze(x, "<i8") // ranges for x in rows.column("h").to_pylist()]
         lp = np.zeros(1 + max([at.max(initial=0), *(x.max(initial=0) for x in h)]))
         lp[at] = spelt.column("lp").to_numpy()
         column = lambda x: rows.column(x).combine_chunks()
-        return _table(_ANSWER, rows.num_rows, block=column("block"), part=column("part"), h=column("h"), c=column("n"), lp=[_squeeze(lp[x]) for x in h])
+        return _table(_ANSWER, rows.num_rows, block=column("block"), part=column("part"), ids=column("ids"), h=column("h"), c=column("n"), lp=[_squeeze(lp[x]) for x in h])
 
-    return known.groupBy("part").cogroup(spelled.select(F.shiftright("w", 32).alias("_part"), "w", "lp").groupBy("_part")).applyInArrow(run, _ANSWER)
+    return known.groupBy("part").cogroup(spelled.select((F.col("w") % ranges).alias("_part"), "w", "lp").groupBy("_part")).applyInArrow(run, _ANSWER)
 
 
 def score(
@@ -527,16 +537,17 @@ def score(
     Tokens are words in lower case (A-Z) and one end. A null text is the empty one, whose only token is its end; repeated
     rows count and score each for itself; a null id stays null; an empty table gives no rows; other columns are ignored."""
     total = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string"))).alias("n")).first()["n"] or 0
-    parts = blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep, max(1, -(-total // word_range)))
+    ranges = max(1, -(-total // word_range))
+    parts = blocks_of_documents(docs, id_col, text_col, F.coalesce(learn, F.lit(False)), keep, ranges)
     texts, vocabulary = materialise_halves(parts, F.col("part").isNull(), "pst-documents")
-    counted, known = materialise_halves(count_words(vocabulary), F.col("part").isNull(), "pst-counts", tidy=True)
+    counted, known = materialise_halves(count_words(vocabulary, ranges), F.col("part").isNull(), "pst-counts", tidy=True)
     discard(vocabulary)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     size = texts.agg(F.count(F.when(F.col("learn"), 1)).alias("ends"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0)).alias("n")).first()
     ends = size["ends"]
     model = Model(sums["n"] + ends, sums["v"] + (ends > 0), sums["once"], ends, size["n"], depth, divergence, transitions)
     spelled = spell(counted.select("word", "w", "c"))
-    answers = materialise(_vocabularies(known.select("block", "part", "h", "n"), spelled), "pst-vocabularies", tidy=True)
+    answers = materialise(_vocabularies(known.select("block", "part", "ids", "h", "n"), spelled, ranges), "pst-vocabularies", tidy=True)
     for used in (counted, spelled, known):
         discard(used)
     for d in range(1, depth + 1):
@@ -544,7 +555,7 @@ def score(
         # split contexts: the sums of their pieces go to the blocks that asked
         whole = got.where("block IS NULL").groupBy("hot").agg(F.sum("kinds_sum").alias("kinds_sum"), F.sum("gain_sum").alias("gain_sum"))
         told = got.where("block IS NOT NULL AND part IS NULL").select("block", "hot").distinct().join(whole, "hot")
-        told = told.withColumns({"part": F.lit(None).cast("long"), "level": F.lit(d)} | {x: F.lit(None).cast("binary") for x in ("n", "kinds", "state", "h", "c", "lp")})
+        told = told.withColumns({"part": F.lit(None).cast("long"), "level": F.lit(d)} | {x: F.lit(None).cast("binary") for x in ("n", "kinds", "state", "ids", "h", "c", "lp")})
         answers = answers.unionByName(got.where("part IS NOT NULL")).unionByName(told.select(*answers.columns))
     below = model.n_all + 0.5 * (model.v + 1)
 
@@ -552,7 +563,7 @@ def score(
         block, held = _block_of(rows, given, model)
         root = block.p.copy()
         for d in range(1, depth + 1):
-            block.learn_level(block.next_level(), held["by_level"].get(d, []))
+            block.learn_level(block.next_level(), held["by_level"].get(d, []), last=d == depth)
         lp = np.append(_joined(held["words"], "lp", "<f8"), [0.0, 0.0])
         at = ~block.is_start
         doc, n = block.doc[at], block.n_docs
