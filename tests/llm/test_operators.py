@@ -482,6 +482,30 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert got[1]["text"].split() == texts[1].split()[:2] + texts[1].split()[-2:]
 
 
+def test_line_dedup_in_few_steps(spark, monkeypatch):
+    """Repeats within documents are found by one sort of numbers, words are cut by their bytes, and the windows that nobody
+    repeats pass the join unsorted."""
+    rng = random.Random(13)
+    doc = np.sort(np.array([rng.randrange(20) for _ in range(500)]))
+    code = np.array([rng.randrange(30) for _ in range(500)])
+    pairs = list(zip(doc.tolist(), code.tolist(), strict=True))
+    assert linededup._again(doc, code).tolist() == [x in pairs[:k] for k, x in enumerate(pairs)]
+    assert linededup._again(doc[:0], code[:0]).tolist() == []
+    for _ in range(200):
+        t = "".join(rng.choices(" \t\n\x0b\x1c\u00a0\u2003ab\u00e9\U0001f600", k=60))
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        runs = [(k, min(2, len(spans) - k)) for k in range(rng.randrange(3), len(spans), 4)]
+        kept = [t[a:b].strip() for a, b in zip([0, *(spans[k + n - 1][1] for k, n in runs)], [*(spans[k][0] for k, _ in runs), len(t)], strict=True)]
+        assert linededup.cut(t, np.array([k for k, _ in runs], int), np.array([n for _, n in runs], int)) == "\n".join(x for x in kept if x)
+    plans = {}
+    kept_as = linededup.materialise
+    monkeypatch.setattr(linededup, "materialise", lambda df, name, **x: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), kept_as(df, name, **x))[1])
+    passage = text(rng, 60)
+    df = spark.createDataFrame([(k, f"{text(rng, 20)}\n{passage}") for k in range(6)], "doc_id long, text string")
+    assert [r["removed_words"] >= 50 for r in linededup.remove_repeats(df, per_run=True).orderBy("doc_id").collect()] == [False] + [True] * 5
+    assert "ShuffledHashJoin" in plans["line-repeats"] and "SortMergeJoin" not in plans["line-repeats"]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (None, 3)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from tracewright.llm.textops import slices, words
 
 #: Pieces of a window; words that a removed run or each window needs; most words of a line, and word gaps of which one at least ends a line.
 WINDOW, LEAST_WORDS, WRAP = 3, 10, 10
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _M, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -50,6 +49,17 @@ def _local(key: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     return picked
 
 
+def _again(doc: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Places whose code came before in the same document. Both are small numbers: three of them fit in one, which is sorted."""
+    n = max(1, len(doc))
+    key = (doc * (1 + code.max(initial=0)) + code) * n + np.arange(len(doc))
+    key.sort()
+    at, key = key % n, key // n
+    out = np.zeros(len(doc), bool)
+    out[at[1:][key[1:] == key[:-1]]] = True
+    return out
+
+
 class Lines:
     """The lines and windows of a column of texts. White space between words doesn't matter.
 
@@ -129,24 +139,21 @@ def windows(docs: DataFrame, id_col: str, text_col: str, per_run: bool = False)
             x = Lines(part.column("text"), per_run)
             if len(x.window_piece):
                 doc = x.piece_doc[x.window_piece]
-                order = np.lexsort((x.window_hash, doc))
-                d, h = doc[order], x.window_hash[order]
-                fresh = np.ones(len(d), bool)
-                fresh[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-                at = pa.array(d[fresh])
-                yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(x.window_check[order][fresh].view(np.int32)), part.column("doc_id").take(at), part.column("k").take(at)], names=["h", "check", "doc_id", "k"])
+                fresh = ~_again(doc, np.unique(x.window_hash, return_inverse=True)[1])
+                at = pa.array(doc[fresh])
+                yield pa.RecordBatch.from_arrays([pa.array(x.window_hash[fresh].view(np.int64)), pa.array(x.window_check[fresh].view(np.int32)), part.column("doc_id").take(at), part.column("k").take(at)], names=["h", "check", "doc_id", "k"])
 
     return rows.mapInArrow(run, "h long, check int, doc_id long, k long")
 
 
 def cut(text: str | None, starts: np.ndarray, lengths: np.ndarray) -> str:
     """text without runs of its words; what is kept between two runs is stripped and set on a line of its own."""
-    spans = [m.span() for m in _WORD.finditer(text or "")]
-    kept, at = [], 0
-    for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-        kept.append(text[at : spans[a][0]].strip())
-        at = spans[a + n - 1][1]
-    kept.append(text[at:].strip())
+    data = (text or "").encode()
+    # white space bytes are never part of a longer character
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    froms, tos = edges[::2][starts].tolist(), edges[1::2][starts + lengths - 1].tolist()
+    kept = [data[a:b].decode().strip() for a, b in zip([0, *tos], [*froms, len(data)], strict=True)]
     return "\n".join(x for x in kept if x)
 
 
@@ -161,11 +168,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows of different documents are the same if 96 bits of hashes of their pieces agree.
 
     A window goes to the shuffle as hash and id; a frequent one is summed by the tasks first, and the join that brings
-    its first owner back is left to adaptive execution to split."""
+    its first owner back is left to adaptive execution to split. Only windows with several owners are held in that join's
+    tables; the others pass them unsorted."""
     found = materialise(windows(docs, id_col, text_col, per_run), "line-windows")
     first = found.groupBy("h", "check").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").select("h", "check", "first_id")
-    later = found.join(first, ["h", "check"]).where("doc_id IS NULL OR doc_id > first_id")
-    gone = materialise(later.groupBy("doc_id", "k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "k": "_k"}), "line-repeats")
+    later = found.join(first.hint("shuffle_hash"), ["h", "check"]).where("doc_id IS NULL OR doc_id > first_id")
+    gone = materialise(later.groupBy("doc_id", "k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "k": "_k"}), "line-repeats", tidy=True)
     discard(found)
     text = docs[text_col].cast("string")
     null_key = F.when(docs[id_col].isNull(), F.xxhash64(text))
@@ -184,16 +192,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             owner = np.repeat(np.arange(n), sizes)
             hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             window_doc = x.piece_doc[x.window_piece]
-            # repeats of the same document: all but the first of equal windows
-            order = np.lexsort((x.window_piece, x.window_hash, window_doc))
-            again = np.zeros(len(order), bool)
-            d, h = window_doc[order], x.window_hash[order]
-            again[order[1:]] = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
-            # repeats of other documents: pairs of document and hash that came back
+            # repeats of the same document, and pairs of document and hash that came back from others
+            distinct, code = np.unique(np.concatenate([hashes, x.window_hash]), return_inverse=True)
+            known, code = code[: len(owner)], code[len(owner) :]
+            again = _again(window_doc, code)
             if len(owner):
-                pairs = np.rec.fromarrays([np.concatenate([owner, window_doc]), np.concatenate([hashes, x.window_hash])])
-                _, code = np.unique(pairs, return_inverse=True)
-                again |= np.isin(code[len(owner) :], code[: len(owner)])
+                again |= np.isin(window_doc * len(distinct) + code, owner * len(distinct) + known)
             covered = x.covered(again)
             texts = part.column("text").to_pylist() if covered.any() else None
             out, spans = part.column("text"), [[] for _ in range(n)]
