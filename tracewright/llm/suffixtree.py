@@ -63,10 +63,16 @@ def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct numbers in order, a place of each, and for each place which it has."""
-    order = np.argsort(x)
-    ordered = x[order]
+def _distinct(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers (of so many bits) in order, a place of each, and for each place which it has."""
+    low = len(x).bit_length()
+    if bits + low < 64:  # with its place in its lowest bits, a number is sorted by itself
+        ordered = x << low | np.arange(len(x))
+        ordered.sort()
+        order, ordered = ordered & ((1 << low) - 1), ordered >> low
+    else:
+        order = np.argsort(x)
+        ordered = x[order]
     fresh = np.ones(len(x), bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
     code = np.empty(len(x), np.int64)
@@ -186,12 +192,8 @@ def blocks_of_words(counted: DataFrame) -> DataFrame:
                 part = batch.slice(a, WORD_BLOCK)
                 new = part.column("c").to_numpy(zero_copy_only=False) == 0
                 context, symbol, offsets = _spelled(part.column("word"))
-                order = np.lexsort((symbol, context))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (np.diff(context[order]) != 0) | (np.diff(symbol[order]) != 0)
-                code = np.empty(len(order), np.int64)
-                code[order] = np.cumsum(fresh) - 1
-                first = order[fresh]
+                contexts, _, of_context = _distinct(context)
+                _, first, code = _distinct(of_context << _BITS | symbol, len(contexts).bit_length() + _BITS)
                 of_new = np.repeat(new, np.diff(offsets))
                 m = len(first)
                 kinds, asked = np.bincount(code[~of_new], minlength=m).astype(np.int64), np.bincount(code[of_new], minlength=m) > 0
@@ -213,17 +215,17 @@ def spelling_tree(transitions: DataFrame) -> DataFrame:
 
     From the root down, a context's counts are compared with what its parent would give; it is a state if they diverge by
     SPELL_DIVERGENCE nats or more, and then its distribution is its counts smoothed by its parent's."""
-    all_ = materialise(transitions.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "pst-transitions", tidy=True)
+    levels, longer = {}, transitions
+    for d in range(SPELL_DEPTH, -1, -1):  # shorter contexts are added up from the next longer ones
+        own = longer.select(F.col("context").bitwiseAND((1 << (_BITS * d)) - 1).alias("context"), "symbol", "n")
+        levels[d] = longer = materialise(own.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "pst-transitions", tidy=True)
 
-    def level(d: int) -> DataFrame:
-        return all_.select(F.col("context").bitwiseAND((1 << (_BITS * d)) - 1).alias("context"), "symbol", "n").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-    total = level(0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    known = level(0).select("context", "symbol", ((F.col("n") + ROOT_SMOOTHING) / (total + ROOT_SMOOTHING * ALPHABET)).alias("p"), F.lit(0).cast("long").alias("state"))
+    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    known = levels[0].select("context", "symbol", ((F.col("n") + ROOT_SMOOTHING) / (total + ROOT_SMOOTHING * ALPHABET)).alias("p"), F.lit(0).cast("long").alias("state"))
     for d in range(1, SPELL_DEPTH + 1):
         parent = F.col("context").bitwiseAND((1 << (_BITS * (d - 1))) - 1)
         above = known.select(F.col("context").alias("_parent"), F.col("symbol").alias("_symbol"), F.col("p").alias("_p"), F.col("state").alias("_state"))
-        own = level(d).withColumn("_of", parent).join(above, (F.col("_of") == F.col("_parent")) & (F.col("symbol") == F.col("_symbol")))
+        own = levels[d].withColumn("_of", parent).join(above, (F.col("_of") == F.col("_parent")) & (F.col("symbol") == F.col("_symbol")))
         one = W.partitionBy("context")  # a row for each symbol of the alphabet at most
         gain = F.sum(F.when(F.col("n") > 0, F.col("n") * (F.log("n") - F.log("_p"))).otherwise(0.0)).over(one)
         own = own.withColumn("_total", F.sum("n").over(one)).withColumn("_gain", gain)
@@ -233,8 +235,9 @@ def spelling_tree(transitions: DataFrame) -> DataFrame:
         p = F.when(is_state, (F.col("n") + SMOOTHING * F.col("_p")) / (F.col("_total") + SMOOTHING)).otherwise(F.col("_p"))
         fresh = materialise(own.select("context", "symbol", p.alias("p"), F.when(is_state, F.col("context")).otherwise(F.col("_state")).alias("state")), "pst-states", tidy=True)
         discard(known)
+        discard(levels[d])
         known = fresh
-    discard(all_)
+    discard(levels[0])
     return known
 
 
@@ -281,35 +284,25 @@ class Model:
 
 
 class Level:
-    """The distinct transitions of a block at one length of contexts, sorted by context and symbol. first: a place of each."""
+    """The distinct transitions of a block at one length of contexts, sorted by context and symbol. symbol: its number in the block; first: a place of each."""
 
     def __init__(self, block: Block, context: np.ndarray, hashes: np.ndarray, total: np.ndarray, at: np.ndarray, model: Model):
         """context: numbers of contexts (of the places at) into hashes and total."""
-        shift, places = len(block.hash).bit_length(), len(at).bit_length()
-        key = context.astype(np.int64) << shift | block.symbol[at]
-        if len(hashes).bit_length() + shift + places < 64:  # with its place in its lowest bits, a number is sorted by itself
-            key = key << places | np.arange(len(at))
-            key.sort()
-            first, key = key & ((1 << places) - 1), key >> places
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            self.of_place = np.empty(len(key), np.int32)
-            self.of_place[first] = np.cumsum(fresh, dtype=np.int32) - 1
-            unique, first = key[fresh], first[fresh]
-        else:
-            unique, first, of_place = _distinct(key)
-            self.of_place = of_place.astype(np.int32)
+        shift = len(block.hash).bit_length()
+        unique, self.first, of_place = _distinct(context.astype(np.int64) << shift | block.symbol[at], len(hashes).bit_length() + shift)
+        self.of_place = of_place.astype(np.int32)
         self.at = at
-        owner, symbol = unique >> shift, unique & ((1 << shift) - 1)
+        owner, self.symbol = unique >> shift, unique & ((1 << shift) - 1)
         self.head = np.ones(len(unique), bool)  # the first transition of each context
         self.head[1:] = owner[1:] != owner[:-1]
         self.owner = np.cumsum(self.head) - 1
         ids = owner[self.head]
         self.hash, self.total = hashes[ids], total[ids]
         self.pieces = model.pieces(self.total)
-        self.symbol, self.number = block.hash[symbol], block.number[symbol]
-        self.first, self.block = first, block
-        part = model.range_of(self.hash[self.owner], self.symbol, self.pieces[self.owner])
+        self.block = block
+        part = model.range_of(self.hash, np.zeros(1, np.uint64), np.ones(1, np.int64))[self.owner]
+        split = np.flatnonzero(self.pieces[self.owner] > 1)
+        part[split] = model.range_of(self.hash[self.owner[split]], block.hash[self.symbol[split]], self.pieces[self.owner[split]])
         if model.ranges <= 1 << 16:
             part = part.astype(np.uint16)  # sorted by digits
         order = np.argsort(part, kind="stable")
@@ -321,7 +314,7 @@ class Level:
 
     def questions(self, block_id: int) -> dict[str, list]:
         out: dict[str, list] = {x: [] for x in ("block", "part", "ctx", "many", "total", "sym", "n", "lnq")}
-        taught = self.of_place[self.block.learn[self.at]]
+        number, taught = self.block.number[self.symbol], self.of_place[self.block.learn[self.at]]
         n, lnq = np.bincount(taught, minlength=len(self.owner)).astype("<u4"), np.log(self.block.q[self.at[self.first]]).astype("<f2")
         for part, own in zip(self.parts.tolist(), self.slices, strict=True):
             owner = self.owner[own]
@@ -329,7 +322,7 @@ class Level:
             head[1:] = owner[1:] != owner[:-1]
             c = owner[head]
             many = np.diff(np.append(np.flatnonzero(head), len(own)))
-            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze(self.number[own]), _squeeze(n[own]), _squeeze(lnq[own]))
+            row = (block_id, part, self.hash[c].tobytes(), _squeeze(many.astype("<u4")), _squeeze(self.total[c].astype("<i8")), _squeeze(number[own]), _squeeze(n[own]), _squeeze(lnq[own]))
             for x, y in zip(out, row, strict=True):
                 out[x].append(y)
         return out
@@ -416,7 +409,7 @@ class Block:
         before = entry[places - 1]
         alive = (before >= 0) & (self.count[places - 1] >= 2)
         self._at, self._ids, self._total = places, before, n.astype(np.int64)
-        self._hash = _mix(level.hash[level.owner] * _M + level.symbol)
+        self._hash = _mix(level.hash[level.owner] * _M + self.hash[level.symbol])
         self._alive = alive
         self._alive[alive] = n[before[alive]] >= 2
 
