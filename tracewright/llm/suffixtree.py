@@ -67,16 +67,18 @@ def _distinct(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np
     """The distinct numbers (of so many bits) in order, a place of each, and for each place which it has."""
     low = len(x).bit_length()
     if bits + low < 64:  # with its place in its lowest bits, a number is sorted by itself
-        ordered = x << low | np.arange(len(x))
+        ordered = x << low
+        ordered |= np.arange(len(x))
         ordered.sort()
-        order, ordered = ordered & ((1 << low) - 1), ordered >> low
+        order = (ordered & ((1 << low) - 1)).astype(np.int32)
+        ordered >>= low
     else:
-        order = np.argsort(x)
+        order = np.argsort(x).astype(np.int32)
         ordered = x[order]
     fresh = np.ones(len(x), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    code = np.empty(len(x), np.int64)
-    code[order] = np.cumsum(fresh) - 1
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    code = np.empty(len(x), np.int32)
+    code[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
     return ordered[fresh], order[fresh], code
 
 
@@ -192,8 +194,13 @@ def blocks_of_words(counted: DataFrame) -> DataFrame:
                 part = batch.slice(a, WORD_BLOCK)
                 new = part.column("c").to_numpy(zero_copy_only=False) == 0
                 context, symbol, offsets = _spelled(part.column("word"))
-                contexts, _, of_context = _distinct(context)
-                _, first, code = _distinct(of_context << _BITS | symbol, len(contexts).bit_length() + _BITS)
+                _, _, code = _distinct(context)
+                key = code.astype(np.int64)
+                key <<= _BITS
+                key |= symbol
+                _, first, code = _distinct(key, len(key).bit_length() + _BITS)
+                context, symbol = context[first], symbol[first].astype(np.int32)
+                del key
                 of_new = np.repeat(new, np.diff(offsets))
                 m = len(first)
                 kinds, asked = np.bincount(code[~of_new], minlength=m).astype(np.int64), np.bincount(code[of_new], minlength=m) > 0
@@ -203,7 +210,7 @@ def blocks_of_words(counted: DataFrame) -> DataFrame:
                 n = len(at)
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, serial)), part.column("w").take(pa.array(at)), ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, serial)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(context[first]), pa.array(symbol[first].astype(np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(kinds), pa.array(asked)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, serial)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(context), pa.array(symbol), pa.array(np.arange(m, dtype=np.int32)), pa.array(kinds), pa.array(asked)], names=names)
                 serial += 1
 
     return counted.mapInArrow(run, "block long, w long, ids binary, context long, symbol int, id int, n long, asked boolean")
@@ -290,7 +297,7 @@ class Level:
         """context: numbers of contexts (of the places at) into hashes and total."""
         shift = len(block.hash).bit_length()
         unique, self.first, of_place = _distinct(context.astype(np.int64) << shift | block.symbol[at], len(hashes).bit_length() + shift)
-        self.of_place = of_place.astype(np.int32)
+        self.of_place = of_place
         self.at = at
         owner, self.symbol = unique >> shift, unique & ((1 << shift) - 1)
         self.head = np.ones(len(unique), bool)  # the first transition of each context
@@ -473,7 +480,7 @@ def _add_up(questions: DataFrame, model: Model, depth: int) -> DataFrame:
         lnq = np.concatenate([_unsqueeze(x, "<f2") for x in rows.column("lnq").to_pylist()]).astype(np.float64)
         distinct, first, code = _distinct(np.concatenate(ctx))
         total = total[first].astype(np.float64)
-        key = (np.repeat(code, np.concatenate(many)) << 32) | sym
+        key = (np.repeat(code.astype(np.int64), np.concatenate(many)) << 32) | sym
         unique, at, entry = _distinct(key)
         added = np.bincount(entry, n, len(unique))
         owner = unique >> 32
