@@ -506,6 +506,36 @@ def test_line_dedup_in_few_steps(spark, monkeypatch):
     assert "ShuffledHashJoin" in plans["line-repeats"] and "SortMergeJoin" not in plans["line-repeats"]
 
 
+def test_line_dedup_words_by_bytes(spark, monkeypatch):
+    """Words are found and hashed by their bytes, never made into strings, and each by all of its bytes."""
+    def no_strings(*_):
+        raise AssertionError("words made into strings")
+
+    monkeypatch.setattr("pyarrow.compute.ascii_split_whitespace", no_strings)
+    rng = random.Random(14)
+    for _ in range(100):
+        texts = [rng.choice([None, "", "".join(rng.choices(" \t\n\x0b\x1c\x00\u00a0ab.\u00e9\U0001f600", k=60))]) for _ in range(5)]
+        for part, own in ((pa.array(texts), texts), (pa.array(texts).slice(1, 3), texts[1:4])):
+            found = linededup.Words(part)
+            plain = [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in own]
+            assert found.counts.tolist() == [len(x) for x in plain]
+            assert [found.data[a:b].tobytes() for a, b in zip(found.starts, found.ends, strict=True)] == [w for x in plain for w in x]
+            assert linededup.Lines(part).doc.tolist() == [k for k, x in enumerate(plain) for _ in x]
+    distinct = [w for n in range(1, 90) for w in ("a" * n, "a" * n + "\x00", *("a" * k + "b" + "a" * (n - k) for k in range(n)))]
+    hashes = linededup.Words(pa.array([" ".join(distinct), "\n".join(distinct)])).hashes()
+    assert hashes[: len(distinct)].tolist() == hashes[len(distinct) :].tolist() and len(set(hashes.tolist())) == len(set(distinct))
+    for _ in range(100):
+        key, fixed = np.array(rng.sample(range(1, 10_000), 50), np.uint64), np.array([rng.random() < 0.05 for _ in range(50)])
+        starts = [k for k in range(50 - linededup.WRAP + 1) if not fixed[k : k + linededup.WRAP].any()]
+        assert set(np.flatnonzero(linededup._local(key, fixed)).tolist()) == {k + int(key[k : k + linededup.WRAP].argmin()) for k in starts}
+    # control characters are parts of words like any other
+    passages = ["\n".join(f"{' '.join(f'w{k}{c}{j}' for j in range(9))}." for k in range(5)) for c in "\x01\x02"]
+    controls = [" ".join([c] * 60) for c in "\x01\x02"]
+    df = spark.createDataFrame([*enumerate([*passages, *controls, passages[0]])], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed_words"] for r in linededup.remove_repeats(df, per_run=True).collect()}
+    assert [got[k] for k in (0, 1, 4)] == [0, 0, 45] and got[2] == got[3]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (None, 3)]
