@@ -536,6 +536,34 @@ def test_line_dedup_words_by_bytes(spark, monkeypatch):
     assert [got[k] for k in (0, 1, 4)] == [0, 0, 45] and got[2] == got[3]
 
 
+def test_line_dedup_of_many_short_documents(spark):
+    """Documents times windows of a slice are beyond 32 bits."""
+    rng = random.Random(15)
+    letters = [chr(k) for k in range(0x21, 0x7F) if chr(k) not in ".!?"]
+    texts = ["\n".join(rng.choices(letters, k=100)) for _ in range(10_000)]
+    for k in range(100, 10_000, 100):
+        texts[k] = texts[k - 1][:100] + texts[k][100:]
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in linededup.remove_repeats(docs, per_run=True).collect()}
+    finally:
+        spark.conf.set(rows, before)
+    seen = set()
+    for k, t in enumerate(texts):
+        words, own, gone = t.split(), set(), [False] * 100
+        for j in range(98):
+            window = tuple(words[j : j + 3])
+            if window in seen or window in own:
+                gone[j : j + 3] = [True] * 3
+            own.add(window)
+        seen |= own
+        runs = [m.span() for m in re.finditer("1{10,}", "".join("01"[x] for x in gone))]
+        assert got[k] == [(a, b - a) for a, b in runs]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (None, 3)]

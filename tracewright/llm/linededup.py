@@ -153,7 +153,7 @@ class Lines:
         pair[1:] = _mix(of_word[:-1] * _M + of_word[1:])
         self.piece_word = first = _wrap(self.begins | _local(pair, self.begins))
         self.n_words = np.diff(np.append(first, n))
-        self.piece_doc = doc[first]
+        self.piece_doc = doc[first].astype(np.int64)
         self.window_piece, self.window_hash, self.window_check = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         if len(first) >= WINDOW:
             powers = np.cumprod(np.full(WRAP, _M, np.uint64), dtype=np.uint64)
@@ -256,8 +256,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             covered = x.covered(again)
             texts = part.column("text").to_pylist() if covered.any() else None
             out, spans = part.column("text"), [[] for _ in range(n)]
-            first_word = np.cumsum(x.words.counts) - x.words.counts
             if texts is not None:
+                first_word = np.cumsum(x.words.counts) - x.words.counts
                 at = np.flatnonzero(covered)
                 new = np.ones(len(at), bool)
                 new[1:] = (np.diff(at) > 1) | (np.diff(x.piece_doc[at]) != 0)
